@@ -1,0 +1,11 @@
+"""Queries of the engine's operators with their SQL."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
