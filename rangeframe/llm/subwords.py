@@ -39,7 +39,7 @@ class WordSums(dict):
     Maps a word to its row in ``rows``, filled on demand; at most ``most`` words are remembered.
     """
 
-    def __init__(self, table: np.ndarray, split: Callable[[str], list[int]], most: int = 500_000):
+    def __init__(self, table: np.ndarray, split: Callable[[str], list[int]], most: int = 200_000):
         super().__init__()
         self.table, self.split, self.most = table, split, most
         self.rows = np.zeros((1024, table.shape[1] + 1))
@@ -54,19 +54,20 @@ class WordSums(dict):
         self[word] = k
         return k
 
-    def of_text(self, text: str) -> np.ndarray:
-        """Sums over all n-grams of a text, and their number at the end."""
+    def of_text(self, text: str, distinct: bool = False) -> np.ndarray:
+        """Sums over all n-grams of a text (or of its distinct words), and their number at the end."""
         if len(self) >= self.most:
             self.clear()
-        at = list(map(self.__getitem__, words(text)))
+        found = words(text)
+        at = list(map(self.__getitem__, sorted(set(found)) if distinct else found))
         return self.rows[at].sum(axis=0) if at else np.zeros(self.rows.shape[1])
 
 
-def gram_counts(text: str, split: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram ids of a text and how often each occurs."""
+def gram_counts(text: str, split: Callable[[str], list[int]], distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram ids of a text (or of its distinct words) and how often each occurs."""
     counted: Counter[int] = Counter()
     for w, n in Counter(words(text)).items():
         for g in split(w):
-            counted[g] += n
+            counted[g] += 1 if distinct else n
     ids = np.fromiter(counted.keys(), np.int32, len(counted))
     return ids, np.fromiter(counted.values(), np.int32, len(counted))

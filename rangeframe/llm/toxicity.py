@@ -1,14 +1,11 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A document's vector is the mean of the embeddings of all its hashed character n-grams and words; a
-softmax over two classes stands on it. Embeddings and output weights are trained together (Adagrad
+A document's vector is the mean of the embeddings of the hashed character n-grams and words of its distinct
+words, with PADDING zero vectors so that a few words weigh little; a softmax over two classes stands on it. Embeddings and output weights are trained together (Adagrad
 over minibatches, balanced classes), so a misspelling that no document of the sample held still has
-most of its n-grams' vectors. For scoring, embeddings times weights collapse to one number for each
+most of its n-grams' vectors; n-grams of fewer than SEEN documents of the sample are zero. For scoring, embeddings times weights collapse to one number for each
 n-gram, which keeps the broadcast at one fixed-size vector.
 
-Long documents dilute a few words: the output weights grow with what training needs, and the mean is
-taken over words, so a score depends on the share of toxic words rather than on length alone.
-
 Cases: null and empty texts get the score of a document without words (the bias); labels without a
 document and documents without a label never train, nor do labels with a null; a null doc_id counts
 as empty text when folds are made and never matches a label; repeated labels of one document count
@@ -30,10 +27,12 @@ from rangeframe.llm.common import held_out, map_text, order_of
 from rangeframe.llm.subwords import WordSums, gram_counts, grams
 
 #: Bound on the labelled documents of each class that train the model.
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 3000
 #: Hashed n-grams, their lengths, and the width of their vectors.
 BUCKETS, LEAST, MOST, WIDTH = 1 << 17, 3, 5, 8
-EPOCHS, BATCH, RATE, SEED = 30, 64, 0.5, 7
+EPOCHS, BATCH, RATE, SEED = 15, 64, 0.5, 7
+#: Zero vectors in each mean, and documents of the sample that an n-gram needs to have a vector.
+PADDING, SEEN = 200, 3
 
 
 def split(word: str) -> list[int]:
@@ -49,11 +48,13 @@ class Model:
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Train embeddings and softmax jointly on bags (ids, counts) with labels 0 and 1."""
     rng = np.random.default_rng(seed)
-    E = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
+    seen = np.bincount(np.concatenate([i for i, _ in bags]), minlength=BUCKETS) >= SEEN
+    E = (rng.normal(0, 0.01, (BUCKETS, WIDTH)) * seen[:, None]).astype(np.float32)
     W = rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
     gE, gW, gb = np.full(BUCKETS, 1e-4, np.float32), np.full_like(W, 1e-4), np.full_like(b, 1e-4)
-    share = [(n / n.sum()).astype(np.float32) for _, n in bags]
+    bags = [(i[k], n[k], n.sum() + PADDING) for i, n in bags for k in [seen[i]]]
+    share = [(n / total).astype(np.float32) for _, n, total in bags]
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
     for _ in range(epochs):
         order = rng.permutation(len(bags))
@@ -63,8 +64,11 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
             ids = np.concatenate([bags[r][0] for r in rows])
             part = np.concatenate([share[r] for r in rows])
             doc = np.repeat(np.arange(len(rows)), sizes)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            X = np.add.reduceat(E[ids] * part[:, None], starts, axis=0)
+            X = np.zeros((len(rows), WIDTH), np.float32)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            weighted = E[ids] * part[:, None]
+            for r in range(len(rows)):
+                X[r] = weighted[ends[r] : ends[r + 1]].sum(axis=0)
             logits = X @ W + b
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -75,13 +79,10 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
             gb += db**2
             W -= RATE * dW / np.sqrt(gW)
             b -= RATE * db / np.sqrt(gb)
-            distinct, where = np.unique(ids, return_inverse=True)
-            g = np.zeros((len(distinct), WIDTH), np.float32)
             rows_of = dX[doc] * part[:, None]
-            for k in range(WIDTH):
-                g[:, k] = np.bincount(where, rows_of[:, k], len(distinct))
-            gE[distinct] += (g**2).mean(axis=1)
-            E[distinct] -= RATE * g / np.sqrt(gE[distinct])[:, None]
+            g = np.stack([np.bincount(ids, rows_of[:, k], BUCKETS) for k in range(WIDTH)], axis=1).astype(np.float32)
+            gE += (g**2).mean(axis=1)
+            E -= RATE * g / np.sqrt(gE)[:, None]
     return Model((E @ (W[:, 1] - W[:, 0])).astype(np.float32)[:, None], float(b[1] - b[0]))
 
 
@@ -98,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [gram_counts(x.as_py() or "", split) for x in batch.column(0)]
+            made = [gram_counts(x.as_py() or "", split, distinct=True) for x in batch.column(0)]
             yield pa.RecordBatch.from_pydict(
                 {"y": batch.column(1), "o": batch.column(2), "ids": [i.tobytes() for i, _ in made], "n": [n.tobytes() for _, n in made]},
                 schema=pa.schema([("y", pa.int32()), ("o", pa.int64()), ("ids", pa.binary()), ("n", pa.binary())]),
@@ -117,8 +118,8 @@ class Scorer:
         self.model, self.sums = model, WordSums(model.table, split)
 
     def score(self, text: str) -> float:
-        total, n = self.sums.of_text(text)
-        return float(1 / (1 + np.exp(-np.clip(self.model.bias + total / max(n, 1.0), -500, 500))))
+        total, n = self.sums.of_text(text, distinct=True)
+        return float(1 / (1 + np.exp(-np.clip(self.model.bias + total / (n + PADDING), -500, 500))))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
