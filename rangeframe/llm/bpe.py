@@ -33,7 +33,7 @@ from rangeframe.llm.token_counts import pieces
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces a worker remembers, and the longest that is worth it.
-REMEMBERED, REMEMBERED_WORDS, LONGEST_REMEMBERED = 400_000, 800_000, 64
+REMEMBERED, REMEMBERED_WORDS, LONGEST_REMEMBERED = 200_000, 400_000, 64
 #: Words of at most so many bytes are merged by scanning, longer ones with a heap.
 SCANNED = 48
 NEVER = np.int64(1) << 40

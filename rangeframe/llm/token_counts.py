@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from rangeframe.llm.common import map_text
 
 #: Pieces a worker remembers, and bytes of unseen pieces that go to the library at once.
-REMEMBERED, ENCODE_BYTES = 1_000_000, 1 << 20
+REMEMBERED, ENCODE_BYTES = 500_000, 1 << 20
 #: Longer pieces are not worth a place in memory.
 LONGEST_REMEMBERED = 64
 
