@@ -7,7 +7,7 @@
 2. Each task streams its rows in batches. A run of one hash that lies inside a batch is decided at once:
    with at least MIN_DOCS documents, all but the first occurrence (the largest document) drop it. A
    batch's first and last run may go on in its neighbours: their rows go out undecided, with one summary
-   for each. Summaries are added up and joined back.
+   for each. Summaries are added up and joined back, by broadcast within MAX_TOTALS and salted beyond.
 3. Positions to drop are gathered for each document into a zlib-compressed bitmap of kept lines.
 
 Texts never travel with the hashes; the operator's result is bitmaps. ``apply_keep`` joins them with texts.
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from rangeframe.llm.common import materialize
 
 MIN_CHARS, MIN_DOCS = 20, 3
+#: Summaries (24 bytes each) up to which they are broadcast; the salt beyond that.
+MAX_TOTALS, SALTS = 200_000, 64
 #: The white space that is stripped from a key, and the letters that are lower-cased.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,16 +115,24 @@ def _stream(min_docs: int):
 
 def drops(rows: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc, row_hash, pos of every line that its document loses."""
-    lines = line_rows(rows, min_chars)
+    # Written once: range partitioning reads its input twice, and these rows are small next to the texts.
+    lines = materialize(line_rows(rows, min_chars), "line-keys")
     down = F.col("doc").desc()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = lines.repartitionByRange(parts, "h1", "h2", down).sortWithinPartitions("h1", "h2", down, "pos")
     run, schema = _stream(min_docs)
     streamed = materialize(ordered.mapInArrow(run, schema), "line-runs")
     totals = streamed.where("kind = 1").groupBy("h1", "h2").agg(F.sum("n_docs").alias("n"), F.max("last_doc").alias("largest"))
+    totals = materialize(totals.where(F.col("n") >= min_docs).select("h1", "h2", "largest"), "line-totals")
     undecided = streamed.where("kind = 2").select("h1", "h2", "doc", "row_hash", "pos")
-    late = undecided.join(totals.where(F.col("n") >= min_docs), ["h1", "h2"]).where(F.col("doc") != F.col("largest"))
-    return streamed.where("kind = 0").select("doc", "row_hash", "pos").unionByName(late.select("doc", "row_hash", "pos"))
+    if totals.count() <= MAX_TOTALS:
+        late = undecided.join(F.broadcast(totals), ["h1", "h2"])
+    else:  # salted: a line of very many documents doesn't meet in one task
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        salted = undecided.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+        late = salted.join(totals.select("*", salts), ["h1", "h2", "salt"])
+    late = late.where(F.col("doc") != F.col("largest")).select("doc", "row_hash", "pos")
+    return streamed.where("kind = 0").select("doc", "row_hash", "pos").unionByName(late)
 
 
 def pack(positions: list[int], n_lines: int) -> bytes:
