@@ -15,6 +15,7 @@ any length; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from rangeframe.llm.common import held_out, map_text, order_of
 from rangeframe.llm.subwords import WordSums, gram_counts, grams
 
 #: Bound on the labelled documents of each class that train the model.
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 2000
 #: Hashed n-grams, their lengths, and the width of their vectors.
 BUCKETS, LEAST, MOST, WIDTH = 1 << 17, 3, 5, 8
 EPOCHS, BATCH, RATE, SEED = 15, 64, 0.5, 7
@@ -39,6 +40,17 @@ def split(word: str) -> list[int]:
     return grams(word, LEAST, MOST, BUCKETS, whole=True)
 
 
+def packed(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """A bag for the way to the driver: steps between sorted ids and their counts, compressed."""
+    order = np.argsort(ids)
+    return zlib.compress(np.diff(ids[order], prepend=0).astype("<u4").tobytes() + counts[order].astype("<u4").tobytes(), 1)
+
+
+def unpacked(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = np.frombuffer(zlib.decompress(bag), "<u4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int32), counts.astype(np.int32)
+
+
 @dataclass
 class Model:
     table: np.ndarray  # for each n-gram, its embedding times the difference of the output weights
@@ -53,15 +65,15 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     W = rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
     gE, gW, gb = np.full(BUCKETS, 1e-4, np.float32), np.full_like(W, 1e-4), np.full_like(b, 1e-4)
-    bags = [(i[k], n[k], n.sum() + PADDING) for i, n in bags for k in [seen[i]]]
-    share = [(n / total).astype(np.float32) for _, n, total in bags]
+    share = [(n[seen[i]] / (n.sum() + PADDING)).astype(np.float32) for i, n in bags]
+    bags = [i[seen[i]] for i, _ in bags]
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            sizes = np.array([len(bags[r][0]) for r in rows])
-            ids = np.concatenate([bags[r][0] for r in rows])
+            sizes = np.array([len(bags[r]) for r in rows])
+            ids = np.concatenate([bags[r] for r in rows])
             part = np.concatenate([share[r] for r in rows])
             doc = np.repeat(np.arange(len(rows)), sizes)
             X = np.zeros((len(rows), WIDTH), np.float32)
@@ -99,18 +111,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [gram_counts(x.as_py() or "", split, distinct=True) for x in batch.column(0)]
-            yield pa.RecordBatch.from_pydict(
-                {"y": batch.column(1), "o": batch.column(2), "ids": [i.tobytes() for i, _ in made], "n": [n.tobytes() for _, n in made]},
-                schema=pa.schema([("y", pa.int32()), ("o", pa.int64()), ("ids", pa.binary()), ("n", pa.binary())]),
-            )
-
-    rows = sample.repartition(8).mapInArrow(bag, "y int, o long, ids binary, n binary").collect()  # at most 2 x ``most`` rows
-    rows = sorted((r for r in rows if r.ids), key=lambda r: (r.o, r.y))
+            made = [packed(*gram_counts(x.as_py() or "", split, distinct=True)) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(made, pa.binary())], ["y", "o", "bag"])
+
+    rows = sample.repartition(8).mapInArrow(bag, "y int, o long, bag binary").collect()  # at most 2 x ``most`` rows
+    rows.sort(key=lambda r: (r.o, r.y, r.bag))
     labels = np.array([r.y for r in rows], np.int64)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros((BUCKETS, 1), np.float32), -50.0)
-    return fit([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.n, np.int32)) for r in rows], labels)
+    bags = [unpacked(r.bag) for r in rows]
+    del rows
+    return fit(bags, labels)
 
 
 class Scorer:
