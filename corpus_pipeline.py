@@ -31,13 +31,13 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs, train(docs), [*docs.columns, *(["text"] if "text" not in docs.columns else [])])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_POSTERIOR)).select(*docs.columns)
+    found = identify(docs, train(docs), docs.columns, names=("__lang", "__score"))
+    return found.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_POSTERIOR)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = dedup_lines(docs)
-    left = kept.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
+    left = kept.where(F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -46,7 +46,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs, seed=SEED).select(*docs.columns)
+    apart = [c if c in ("doc_id", "source") else f"of_{c}" for c in docs.columns]  # columns that mix adds may be here too
+    return mix(docs.toDF(*apart), seed=SEED).select(*apart).toDF(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,8 +98,9 @@ class Scorer:
         return self.model.languages[k], float(p[k] / p.sum())
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns with lang_pred and score."""
+def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns with the predicted language and its score, under ``names``."""
+    pred, score = names
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.prior))
 
     def make():
@@ -107,11 +108,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
 
         def work(texts: list[bytes]) -> dict:
             found = [scorer.predict(t.decode("utf-8", "replace")) for t in texts]
-            return {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
+            return {pred: [x for x, _ in found], score: [s for _, s in found]}
 
         return work
 
-    return map_text(docs, keep, text, "lang_pred string, score double", make)
+    return map_text(docs, keep, text, f"{pred} string, {score} double", make)
 
 
 def language_id(docs: DataFrame, folds: int = 4, fold: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
