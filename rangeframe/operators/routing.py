@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from rangeframe.functions.keys import contains, overlaps
 
 LITERAL_REGIONS = 2048
+#: Regions up to which bounds are broadcast to a join.
+BROADCAST_REGIONS = 500_000
 
 REGION_SCHEMA = (
     "region_id string, table_name string, start_key binary, end_key binary, replicas array<string>, "
@@ -81,7 +83,8 @@ def route_for_key(regions: DataFrame, keys: DataFrame) -> DataFrame:
     Keys of an unknown table, and keys in a gap, have a null region.
     """
     r = regions.select(F.col("table_name").alias("__t"), "region_id", "start_key", "end_key", "primary")
-    joined = keys.join(F.broadcast(r), (F.col("table_name") == F.col("__t")) & contains(F.col("key"), F.col("start_key"), F.col("end_key")), "left")
+    small = regions.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS
+    joined = keys.join(F.broadcast(r) if small else r, (F.col("table_name") == F.col("__t")) & contains(F.col("key"), F.col("start_key"), F.col("end_key")), "left")
     first = F.min(F.struct("start_key", "region_id", "end_key", "primary")).alias("r")
     return joined.groupBy(*keys.columns).agg(first).select(*keys.columns, "r.region_id", "r.start_key", "r.end_key", "r.primary")
 

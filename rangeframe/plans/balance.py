@@ -77,7 +77,7 @@ def candidates(servers: DataFrame, regions: DataFrame, active: DataFrame, config
     targets = able.where(F.col("load") < F.col("average")).select(F.col("server_id").alias("target"), F.col("load").alias("target_load"))
     here = regions.where(F.col("state") == "ONLINE").join(sources.select(F.col("server_id"), F.col("load").alias("source_load"), "average"), "server_id")
     # Regions of overloaded servers times servers with room: rows of a cluster's metadata.
-    moves = here.crossJoin(F.broadcast(targets)).withColumnRenamed("server_id", "source")
+    moves = here.crossJoin(targets).withColumnRenamed("server_id", "source")
     worth = benefit(F.col("source_load"), F.col("target_load"), F.col("size_bytes"), F.col("average"))
     return moves.withColumn("benefit", worth).where("benefit > 0")
 
