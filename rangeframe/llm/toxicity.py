@@ -32,6 +32,8 @@ TRAIN_DOCS = 2000
 #: Hashed n-grams, their lengths, and the width of their vectors.
 BUCKETS, LEAST, MOST, WIDTH = 1 << 17, 3, 5, 8
 EPOCHS, BATCH, RATE, SEED = 15, 64, 0.5, 7
+#: Updates that training makes at least: a small sample is read more often.
+STEPS = 600
 #: Zero vectors in each mean, and documents of the sample that an n-gram needs to have a vector.
 PADDING, SEEN = 200, 3
 
@@ -68,7 +70,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     share = [(n[seen[i]] / (n.sum() + PADDING)).astype(np.float32) for i, n in bags]
     bags = [i[seen[i]] for i, _ in bags]
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * BATCH // len(bags)))):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
