@@ -545,7 +545,7 @@ def cluster_health(spark, d):
 @query()
 def recovery_plan(spark, d):
     """Greedy reassignment of silent servers' regions: each choice depends on the ones before."""
-    placed = order_regions(spark, d).select((F.col("k") % 45).cast("string").alias("server_id"), "region_id", "size_bytes")
+    placed = order_regions(spark, d).select((F.col("k") % 14 + 31).cast("string").alias("server_id"), "region_id", "size_bytes")
     return cluster.recover(servers(spark, d), placed, NOW)[2]
 
 
@@ -584,7 +584,7 @@ def can_start_migration(spark, d):
 @query()
 def migration_plans(spark, d):
     """Greedy plans: at most one per source and target, up to the limit of active moves."""
-    placed = order_regions(spark, d).select("region_id", (F.col("k") % 20).cast("string").alias("server_id"), "size_bytes", F.lit("ONLINE").alias("state"))
+    placed = order_regions(spark, d).select("region_id", (F.col("k") % 10 + 90).cast("string").alias("server_id"), "size_bytes", F.lit("ONLINE").alias("state"))
     return balance.migration_plans(_loads(spark, d), placed, spark.createDataFrame([], "source string, target string"))
 
 
