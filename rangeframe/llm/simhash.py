@@ -16,10 +16,14 @@ Inside a group, codes are sorted by distance to one more vantage code, compared
 within the radius, and joined in a union-find: at most one link per code leaves a group, never all pairs.
 Links are contracted by alternating large and small stars over written tables.
 
-``similar_documents`` is for whole documents at a Jaccard similarity of five-word shingles, here estimated by
-a 512-bit SimHash: shingles fall into CLASSES hash classes, the LEAST smallest hashes of a class have a
-32-bit SimHash of their own, and documents that are near in one class's tree (radius 1) are compared by
-their 512 bits. At a similarity of 0.8 one class agrees with probability 0.8**3, one of eight with 0.997.
+``similar_documents`` is for whole documents at a Jaccard similarity of five-word shingles. Candidates are
+found by a 512-bit SimHash: shingles fall into CLASSES hash classes, the LEAST smallest hashes of a class have
+a 32-bit SimHash of their own, and documents that are near in one class's tree (radius 1) are compared by
+their 512 bits, with a bound that short texts of the similarity pass too. At a similarity of 0.8 one class
+agrees with probability 0.8**3, one of eight with 0.997. Inside a component of candidates every pair is
+judged by the exact Jaccard similarity of its sets of shingle hashes. A component beyond a block's bound is
+cut: each block is compared with itself and the component's hub, and only what isn't joined to the hub
+afterwards is compared with the other blocks.
 
 Cases: null texts are empty; texts without words have fingerprint zero and link like any other; fewer words
 than a shingle make one shingle; texts of any length are read whole; a component whose doc_ids are all null
@@ -48,6 +52,8 @@ SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
 SAMPLE, SHARD, SHARD_MOST = 100_000, 4096, 65_536
 #: Words of the wide fingerprint, hash classes, and hashes of a class that make its code.
 WIDE, CLASSES, LEAST = 8, 8, 3
+#: Texts and shingles of a block in which candidates are compared exactly.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 500_000
 
 
 # Fingerprints
@@ -105,11 +111,20 @@ def signature(text: bytes, size: int) -> tuple[bytes, list[int | None]]:
     return majority(spread).tobytes(), codes
 
 
-def similarity_bits(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Differing bits up to which a pair counts as similar: what is expected at this Jaccard similarity
-    of sets of one size, and a standard error more for the pair."""
+def candidate_bits(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Differing bits up to which a pair is a candidate: five standard errors over what is expected of any
+    two sets with at least this Jaccard similarity. Small sets, whose majorities are narrow, decide."""
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return math.ceil(bits * p + math.sqrt(bits * p * (1 - p)))
+    flips = lambda n: np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
+    for x in range(1, 33):
+        for y in range(x, 33):
+            common = math.ceil(similarity * (x + y) / (1 + similarity) - 1e-9)
+            if common <= x:
+                c, a, b = (np.arange(k + 1) for k in (common, x - common, y - common))
+                one = np.array([flips(len(a) - 1)[2 * (k + a) > x].sum() for k in c])
+                two = np.array([flips(len(b) - 1)[2 * (k + b) > y].sum() for k in c])
+                p = max(p, float((flips(common) * (one + two - 2 * one * two)).sum()))
+    return math.ceil(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
 
 
 # Trees
@@ -316,6 +331,90 @@ def contract(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+# Exact similarity of candidates
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The component of each set, as the number of its first set: sets are linked if their Jaccard
+    similarity is ``similarity`` or more. Two empty sets are alike."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    row = np.repeat(np.arange(len(n)), n)
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(flat, minlength=len(names))[flat] > 1
+    row, flat = row[shared], flat[shared]
+    ends = np.cumsum(np.bincount(row, minlength=len(n)))
+    starts = np.concatenate([[0], ends[:-1]])
+    label, mark = np.full(len(n), -1), np.zeros(len(names), bool)
+    left_row, left = row, flat  # of sets that have no label
+    for first in range(len(n)):
+        if label[first] >= 0:
+            continue
+        label[first] = first
+        at = np.searchsorted(left_row, first, side="right")
+        left_row, left = left_row[at:], left[at:]
+        front = [first]
+        while front:
+            k = front.pop()
+            own = flat[starts[k] : ends[k]]
+            mark[own] = True
+            common = np.bincount(left_row[mark[left]], minlength=len(n))
+            mark[own] = False
+            near = np.flatnonzero((label < 0) & (common >= similarity * (n[k] + n - common) - 1e-9))
+            if len(near):
+                label[near] = first
+                front.extend(near.tolist())
+                open_ = label[left_row] < 0
+                left_row, left = left_row[open_], left[open_]
+    return label
+
+
+def confirmed(members: DataFrame, similarity: float, rows: int = BLOCK_ROWS, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links (a, b) that join exactly what is joined by pairs of one ``root`` with the similarity.
+
+    ``members``: id, root, shingles (binary, distinct 64-bit hashes); distinct by id, the hub of a root has it as id.
+    """
+    spark = members.sparkSession
+    blocks = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum(F.length("shingles")) / (8 * shingles)), F.lit(1)).cast("int")
+    sizes = materialize(members.groupBy("root").agg(F.count("*").alias("rows"), blocks.alias("blocks")), "candidate-sizes")
+    buckets = max(64, (sizes.agg(F.sum("rows")).first()[0] or 0) // 256)
+    cut = sizes.where("blocks > 1").select("root", "blocks").collect()  # overfull components only
+    table = spark.createDataFrame([tuple(r) for r in cut], "root long, blocks int")
+    dealt = members.join(F.broadcast(table), "root", "left")
+    own = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    slot = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.col("root"))
+    dealt = dealt.select("root", "id", "shingles", "blocks", slot.alias("slot"), own.alias("own"))
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("id").sort_values("root", kind="stable")
+        root, ids = pdf["root"].to_numpy(), pdf["id"].to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
+        cuts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]])).tolist()
+        label = np.empty(len(ids), np.int64)
+        for k, end in zip(cuts, [*cuts[1:], len(ids)]):
+            found = ids[k:end][alike(sets[k:end], similarity)]
+            hub = np.flatnonzero(ids[k:end] == root[k])
+            label[k:end] = np.where(found == found[hub[0]], root[k], found) if len(hub) else found
+        return pd.DataFrame({"id": ids, "root": root, "label": label})
+
+    made = "id long, root long, label long"
+    everywhere = F.when((F.col("id") == F.col("root")) & F.col("blocks").isNotNull(), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    inner = dealt.select("root", "id", "shingles", "slot", F.explode(everywhere).alias("block"))
+    found = materialize(inner.groupBy("slot", "block").applyInPandas(confirm, made), "confirmed")
+    links = found.select(F.col("id").alias("a"), F.col("label").alias("b"))
+    apart = found.where("label <> root").join(F.broadcast(table), "root")  # of overfull components
+    counts = apart.groupBy("root", "blocks").agg(F.ceil(F.count("*") / rows).cast("int").alias("others")).collect() if cut else []
+    if not counts:
+        return links
+    several = F.broadcast(spark.createDataFrame([(r.root, r.others) for r in counts], "root long, others int"))
+    rest = dealt.join(several, "root")
+    lone = rest.join(apart.select("id"), "id", "left_semi")
+    other = F.pmod(F.xxhash64("id", F.lit(1)), F.col("others")).cast("int")
+    crossed = rest.select("root", "id", "shingles", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
+    crossed = crossed.unionByName(lone.select("root", "id", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), other.alias("other")))
+    across = crossed.groupBy("root", "block", "other").applyInPandas(confirm, made)
+    return links.unionByName(across.select(F.col("id").alias("a"), F.col("label").alias("b")))
+
+
 # Operators
 
 
@@ -357,10 +456,23 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, d
 
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text"))
     signed = materialize(map_text(keyed, ["doc_id", "text_key"], "text", "sig binary, codes array<long>", make), "signatures")
+    one_doc = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).getField("doc_id")
     distinct = signed.groupBy("text_key").agg(F.first("sig").alias("sig"), F.first("codes").alias("codes"))
     points = distinct.select("text_key", "sig", F.posexplode("codes").alias("tree", "code")).where("code is not null")
     points = materialize(points.select("tree", "code", F.col("text_key").alias("id"), "sig"), "points")
-    root_of = contract(find_links(points, 1, similarity_bits(similarity)))
+    near = contract(find_links(points, 1, candidate_bits(similarity)))
+    hubs = near.select(F.col("root").alias("id"), "root").distinct()
+    members = near.select(F.col("node").alias("id"), "root").unionByName(hubs)
+    docs_of = signed.groupBy(F.col("text_key").alias("id")).agg(one_doc.alias("__doc"))
+    members = materialize(members.join(docs_of, "id"), "candidates")
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.lit(0)))
+    texts = keyed.join(members, (F.col("text_key") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("__doc"))).withColumn("__n", first).where("__n = 1")
+
+    def shingles():
+        return lambda texts: {"shingles": [np.unique(shingle_hashes(t, size)).tobytes() for t in texts]}
+
+    held = materialize(map_text(texts, ["id", "root"], "text", "shingles binary", shingles), "shingles")
+    root_of = contract(confirmed(held, similarity))
     rows = signed.select("doc_id", "text_key")
     return rows.join(root_of, rows["text_key"] == root_of["node"], "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("group_key"))
 

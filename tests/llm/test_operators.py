@@ -401,6 +401,57 @@ def test_similar_documents(spark):
     assert sum(3 * g + 1 not in kept for g in range(60)) >= 55
 
 
+def shingle_sets(text, size=5):
+    words = text.lower().split()
+    size = min(size, len(words))
+    return {" ".join(words[k : k + size]) for k in range(len(words) - size + 1)} if words else set()
+
+
+def brute_force(sets, similarity=0.8):
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                label = [label[j] if x == label[i] else x for x in label]
+    return label
+
+
+def partition(labels):
+    groups = {}
+    for k, x in enumerate(labels):
+        groups.setdefault(x, set()).add(k)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_similarity_is_exact_around_the_threshold(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(9000)]
+    rows = []
+    for words_, more in [(8, 1), (8, 2), (10, 1), (12, 2), (12, 3), (24, 5), (24, 6)] * 6:  # J = n / (n + more): 4 of 5, 4 of 6, ...
+        base = rng.choices(words, k=words_)
+        rows += [" ".join(base), " ".join(base + rng.choices(words, k=more))]
+    for more in range(60, 140, 4):  # J from 0.87 down to 0.74
+        base = rng.choices(words, k=404)
+        rows += [" ".join(base), " ".join(base + rng.choices(words, k=more))]
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(rows)], DOCS)
+    got = {r.doc_id: r.group_key for r in simhash.similar_documents(frame).collect()}
+    assert partition([got[k] for k in range(len(rows))]) == partition(brute_force([shingle_sets(t) for t in rows]))
+
+
+@pytest.mark.parametrize("rows,shingles", [(2048, 500_000), (7, 500_000), (2048, 900)])
+def test_blocks_join_what_brute_force_joins(spark, rows, shingles):
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(6):
+        base = rng.integers(0, 1 << 62, 100)
+        sets += [np.unique(np.concatenate([rng.permutation(base)[:keep], rng.integers(0, 1 << 62, 4)])) for keep in rng.integers(70, 100, 12)]
+    root = [0 if k < 48 else 48 for k in range(len(sets))]
+    frame = spark.createDataFrame([(k, r, s.astype(np.uint64).tobytes()) for k, (r, s) in enumerate(zip(root, sets))], "id long, root long, shingles binary")
+    found = {r.node: r.root for r in simhash.contract(simhash.confirmed(frame, 0.8, rows, shingles)).collect()}
+    want = brute_force([set(s.tolist()) for s in sets])
+    assert 6 < len(set(want)) < len(sets) and partition([found.get(k, k) for k in range(len(sets))]) == partition(want)
+
+
 def test_drop_similar_odd(odd, empty):
     kept = simhash.drop_similar(odd)
     assert kept.columns == odd.columns
