@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeframe.llm.bpe import bpe_encode
+from rangeframe.llm.bpe import bpe_encode_decode
 from rangeframe.llm.common import materialize
 from rangeframe.llm.language_id import identify, train
 from rangeframe.llm.line_dedup import dedup_lines
@@ -51,7 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_encode(docs, VOCABULARY, ["doc_id", "lang", "source"])
+    return bpe_encode_decode(docs, VOCABULARY, ["doc_id", "lang", "source"])
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("tokens", tokens)]

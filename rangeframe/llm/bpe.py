@@ -287,6 +287,23 @@ def bpe_encode(docs: DataFrame, path: str, keep: list[str], text: str = "text")
     return map_text(docs, keep, text, "token_ids array<int>, n_tokens long", make)
 
 
+def bpe_encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns with token_ids (array<int>), n_tokens, and decoded_sha256 of the text that the ids decode to."""
+
+    def make():
+        coder = encoder(path)
+
+        def work(texts: list[bytes]) -> dict:
+            raw = coder.encode([t.decode("utf-8", "replace") for t in texts])
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in raw]
+            decoded = [hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in raw]
+            return {"token_ids": ids, "n_tokens": np.fromiter(map(len, ids), np.int64, len(ids)), "decoded_sha256": decoded}
+
+        return work
+
+    return map_text(docs, keep, text, "token_ids array<int>, n_tokens long, decoded_sha256 string", make)
+
+
 def bpe_decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "token_ids") -> DataFrame:
     """``keep`` columns with the decoded text of an id column (null ids: empty text)."""
     from collections.abc import Iterator

@@ -592,3 +592,17 @@ def test_pipeline_end(spark, docs):
     known = {r.doc_id for r in docs.collect()}
     assert {r.doc_id for r in rows} <= known
     assert all(reference.decode(r.token_ids, skip_special_tokens=False).strip() for r in rows[:20])
+
+
+def test_pipeline_decodes_its_tokens(spark, docs, odd, monkeypatch):
+    for table in (docs, odd.select(*docs.columns)):
+        out = corpus_pipeline.tokens(spark, table, SF)
+        assert out.columns == ["doc_id", "lang", "source", "token_ids", "n_tokens", "decoded_sha256"]
+        want = sorted(repr((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest())) for r in table.collect())
+        assert sorted(repr((r.doc_id, r.decoded_sha256)) for r in out.collect()) == want
+    real = bpe.Encoder.decode
+    monkeypatch.setattr(bpe.Encoder, "decode", lambda self, ids: "" if ids else real(self, ids))
+    work = {}
+    monkeypatch.setattr(bpe, "map_text", lambda docs, keep, text, schema, make: work.update(made=make()([b"some text"])))
+    bpe.bpe_encode_decode(docs, VOCABULARY, [])
+    assert work["made"]["decoded_sha256"] == [hashlib.sha256(b"").hexdigest()]  # the digest is of what the ids decode to
