@@ -324,8 +324,8 @@ def put_partial(spark, d):
 _CUSTOMER = TableSchema("customer", (Column("c_custkey", "BIGINT", False), Column("c_name", "VARCHAR(12)", False), Column("c_acctbal", "DOUBLE")), "c_custkey")
 
 
-def _batch(spark, d):
-    c = read_table(spark, d, "customer").where("c_custkey < 60")
+def _batch(spark, d, which="c_custkey < 60"):
+    c = read_table(spark, d, "customer").where(which)
     name = F.when(F.col("c_custkey") % 5 == 0, F.lit(None)).when(F.col("c_custkey") % 7 == 0, F.lit("a name too long")).otherwise(F.lit("ok"))
     return c.select(F.col("c_custkey").alias("pos"), "c_custkey", name.alias("c_name"), F.lit(0.5).alias("c_acctbal"))
 
@@ -344,6 +344,20 @@ def batch_put_rows(spark, d):
     return mutate.batch_put(base, _CUSTOMER, _batch(spark, d), 100)[0].select("c_custkey", "c_name")
 
 
+@query("""SELECT c_custkey AS pos, NOT (c_custkey % 5 = 0 OR c_custkey % 7 = 0) AS ok,
+    CASE WHEN c_custkey % 5 = 0 THEN 'column c_name is null' WHEN c_custkey % 7 = 0 THEN 'column c_name is longer than 12' END AS error,
+    CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN NULL ELSE 101 + c_custkey END AS sequence_id FROM customer""")
+def batch_put_all_report(spark, d):
+    base = read_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return mutate.batch_put(base, _CUSTOMER, _batch(spark, d, "true"), 100)[1]
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN 'ok' ELSE c_name END AS c_name FROM customer""")
+def batch_put_all_rows(spark, d):
+    base = read_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return mutate.batch_put(base, _CUSTOMER, _batch(spark, d, "true"), 100)[0].select("c_custkey", "c_name")
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey * 3 FROM customer)")
 def delete_keys(spark, d):
     c = read_table(spark, d, "customer").select("c_custkey", "c_name")

@@ -36,6 +36,10 @@ def test_query(spark, db, name):
     assert plain(got.columns, rows) == plain(names, want.fetchall())
 
 
+def test_batch_put_covers_the_whole_table(spark):
+    assert suite.QUERIES["batch_put_all_report"][0](spark, SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
+
+
 def test_flagship(spark):
     assert suite.flagship(spark, SF).count() == 1
 
