@@ -30,6 +30,12 @@ TRANSITIONS = {
     "FAILED": (),
     "CANCELLED": (),
 }
+REPORTS = (
+    "server_id string, region_id string, migration_id string, phase string, bytes_transferred long, error_message string, "
+    "reported_ms long"
+)
+#: The phases that a server reports.
+PHASES = ("STARTED", "DATA_COPIED", "COMPLETED", "FAILED")
 TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
 NEXT = {"PREPARE": "SYNC", "SYNC": "SWITCH", "SWITCH": "COMPLETED"}
 
@@ -174,6 +180,16 @@ def progress(synced: Column, total: Column) -> Column:
     return F.when(broken, F.raise_error(F.lit("synced rows out of range")).cast("double")).when(total == 0, F.lit(0.0)).otherwise(synced / total)
 
 
+def report_progress(history: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(history with all reports appended, acknowledgements): both are frames of REPORTS; each report is
+    acknowledged and none asks for an abort. A phase that isn't one of PHASES is an error."""
+    phase = F.col("phase")
+    known = F.when(phase.isin(*PHASES), phase).otherwise(F.raise_error(F.lit("unknown phase of a migration")).cast("string"))
+    checked = reports.withColumn("phase", known)
+    acks = checked.select("migration_id", "phase", F.lit(True).alias("acknowledged"), F.lit(False).alias("should_abort"))
+    return history.unionByName(checked), acks
+
+
 def switch_route(catalog, region_id: str, target: str) -> str | None:
     """Move a region's primary; returns the old one. The target becomes a replica first."""
     old = catalog.region(region_id).primary

@@ -225,6 +225,18 @@ def test_switch_adds_replica(spark):
     assert stale
 
 
+def test_progress_reports_are_appended(spark):
+    row = lambda phase, n: ("a", "r", "m1", phase, n, None, n)
+    history, acks = spark.createDataFrame([], migration.REPORTS), []
+    for phase, n in (("STARTED", 0), ("DATA_COPIED", 5)):
+        history, ack = migration.report_progress(history, spark.createDataFrame([row(phase, n)], migration.REPORTS))
+        acks += [tuple(r) for r in ack.collect()]
+    assert acks == [("m1", "STARTED", True, False), ("m1", "DATA_COPIED", True, False)]
+    assert sorted((r.phase, r.bytes_transferred) for r in history.collect()) == [("DATA_COPIED", 5), ("STARTED", 0)]
+    with pytest.raises(Exception):
+        migration.report_progress(history, spark.createDataFrame([row("LOST", 1)], migration.REPORTS))[0].collect()
+
+
 def test_health(spark):
     servers = spark.createDataFrame([("a", "h", 1, "ONLINE", T0, 0, 0, 0.0, 0.0), ("b", "h", 1, "DEAD", T0, 0, 0, 0.0, 0.0)], cluster.SERVERS)
     region = lambda state, who: spark.createDataFrame([("r", state, who)], "region_id string, state string, replicas array<string>")
