@@ -31,6 +31,57 @@ def decode(key: bytes, kind: T.DataType) -> int | str | None:
     return key.decode() if isinstance(kind, T.StringType) else int.from_bytes(key, "big") - (1 << 63)
 
 
+def after(key: bytes) -> bytes:
+    """The smallest routing key that is larger than ``key``."""
+    return key + b"\x00"
+
+
+def typed_bound(bound: bytes, kind: T.DataType) -> int | str | None:
+    """A range's bound as a typed value that compares alike; None for an open side, or one past the largest value."""
+    if bound == OPEN or isinstance(kind, T.StringType):
+        return bound.decode() if bound else None
+    value = int.from_bytes(bound[:8], "big") - (1 << 63) + (len(bound) > 8)
+    return value if value < 1 << 63 else None
+
+
+# Sets of keys: sorted, disjoint, half-open ranges of routing keys; an empty bound is open.
+
+Ranges = list[tuple[bytes, bytes]]
+EVERYTHING: Ranges = [(OPEN, OPEN)]
+
+
+def _last(end: bytes) -> tuple[bool, bytes]:
+    return end == OPEN, end
+
+
+def points(keys: list) -> Ranges:
+    """The ranges that hold these values and nothing else."""
+    return [(k, after(k)) for k in sorted({encode(v) for v in keys if v is not None})]
+
+
+def intersect(a: Ranges, b: Ranges) -> Ranges:
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        low, high = max(a[i][0], b[j][0]), min(a[i][1], b[j][1], key=_last)
+        if high == OPEN or low < high:
+            out.append((low, high))
+        if _last(a[i][1]) <= _last(b[j][1]):
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def unite(a: Ranges, b: Ranges) -> Ranges:
+    out: Ranges = []
+    for low, high in sorted([*a, *b], key=lambda r: (r[0], _last(r[1]))):
+        if out and (out[-1][1] == OPEN or low <= out[-1][1]):
+            out[-1] = (out[-1][0], max(out[-1][1], high, key=_last))
+        else:
+            out.append((low, high))
+    return out
+
+
 def key_column(col: Column | str, kind: T.DataType) -> Column:
     """The routing key of a typed column, as an expression that stays in the JVM."""
     col = F.col(col) if isinstance(col, str) else col

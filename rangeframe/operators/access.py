@@ -20,8 +20,9 @@ from rangeframe.functions.types import InvalidRequest
 
 #: Aggregate functions of a query, over one column.
 AGGREGATES = {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
-#: Keys of one request up to which they are broadcast; more are joined by shuffling.
-BROADCAST_KEYS = 100_000
+#: Keys of one request up to which they stand in the scan's condition, and up to which they are broadcast; more
+#: are joined by shuffling.
+CONDITION_KEYS, BROADCAST_KEYS = 1000, 100_000
 
 
 def project(df: DataFrame, columns: list[str] | None) -> DataFrame:
@@ -66,27 +67,38 @@ def key_frame(df: DataFrame, pk: str, keys: list[Any]) -> DataFrame:
     return df.sparkSession.createDataFrame(list(enumerate(keys)), schema)
 
 
-def _sized(keys: DataFrame, n: int | None) -> DataFrame:
-    return F.broadcast(keys) if n is not None and n <= BROADCAST_KEYS else keys
+def _listed(df: DataFrame, pk: str, keys: list[Any]) -> DataFrame:
+    """The rows of a short list of keys, which stands in the scan's condition: at most as many rows as keys."""
+    return df.where(F.col(pk).isin([k for k in dict.fromkeys(keys) if k is not None]))
 
 
 def exists(df: DataFrame, pk: str, keys: list[Any] | DataFrame) -> DataFrame:
     """(pos, key, found) for each key asked for; ``keys`` may be a DataFrame with pos and key."""
+    if isinstance(keys, list) and len(keys) <= CONDITION_KEYS:
+        asked, there = key_frame(df, pk, keys), _listed(df, pk, keys).select(F.col(pk).alias("key")).distinct()
+        return asked.join(F.broadcast(there.withColumn("found", F.lit(True))), "key", "left").select("pos", "key", F.coalesce("found", F.lit(False)).alias("found"))
     asked, n = (key_frame(df, pk, keys), len(keys)) if isinstance(keys, list) else (keys, None)
+    wanted = asked.select("key").distinct()
     # Only the table's rows with asked-for keys leave the scan, without an aggregate over the table.
-    there = df.select(F.col(pk).alias("key")).join(_sized(asked.select("key").distinct(), n), "key", "left_semi").distinct()
+    there = df.select(F.col(pk).alias("key")).join(F.broadcast(wanted) if n is not None and n <= BROADCAST_KEYS else wanted, "key", "left_semi").distinct()
     return asked.join(there.withColumn("found", F.lit(True)), "key", "left").select("pos", "key", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def batch_get(df: DataFrame, pk: str, keys: list[Any] | DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per asked-for key, in order: pos, key, found and the columns (null where not found)."""
-    asked, n = (key_frame(df, pk, keys), len(keys)) if isinstance(keys, list) else (keys, None)
     wanted = columns or df.columns
     project(df, wanted)
-    hit = df.join(_sized(asked.select(F.col("key").alias("__key")).distinct(), n), F.col(pk) == F.col("__key"), "left_semi")
-    hit = hit.select(F.col(pk).alias("__pk"), *wanted)
-    joined = asked.join(hit, F.col("key") == F.col("__pk"), "left")
-    return joined.select("pos", "key", F.col("__pk").isNotNull().alias("found"), *wanted).orderBy("pos")
+    shown = [F.col(f"__of_{k}").alias(c) for k, c in enumerate(wanted)]
+    found = lambda rows: rows.select(F.col(pk).alias("__pk"), *[F.col(f"`{c}`").alias(f"__of_{k}") for k, c in enumerate(wanted)])
+    if isinstance(keys, list) and len(keys) <= CONDITION_KEYS:
+        asked = key_frame(df, pk, keys).coalesce(1)
+        joined = asked.join(F.broadcast(found(_listed(df, pk, keys))), F.col("key") == F.col("__pk"), "left")
+        return joined.sortWithinPartitions("pos").select("pos", "key", F.col("__pk").isNotNull().alias("found"), *shown)
+    asked, n = (key_frame(df, pk, keys), len(keys)) if isinstance(keys, list) else (keys, None)
+    listed = asked.select(F.col("key").alias("__key")).distinct()
+    hit = df.join(F.broadcast(listed) if n is not None and n <= BROADCAST_KEYS else listed, F.col(pk) == F.col("__key"), "left_semi")
+    joined = asked.join(found(hit), F.col("key") == F.col("__pk"), "left")
+    return joined.select("pos", "key", F.col("__pk").isNotNull().alias("found"), *shown).orderBy("pos")
 
 
 def scan(

@@ -43,34 +43,43 @@ def tail(log: DataFrame, start_sequence: int, end_sequence: int = 0, region_id:
     return rows.limit(batch_size) if batch_size else rows
 
 
-def replay(log: DataFrame, keys: list[str], values: list[str], sequence: str = "sequence_id", op: str = "op", present: str | None = None) -> DataFrame:
-    """The last state by key: keys, values, ``__deleted`` and ``__sequence``."""
+def _states(log: DataFrame, keys: list[str], values: list[str], sequence: str, op: str, present: str | None) -> DataFrame:
+    """By key: a struct (v) for each value, null where no entry wrote the column, ``__deleted`` and ``__sequence``."""
     gone = F.col(op) == "DELETE"
 
     def latest(name: str) -> Column:
         written = gone if present is None else gone | F.col(present).isNull() | F.array_contains(F.col(present), name)
         order = F.col(sequence) if present is None else F.when(written, F.col(sequence))
         # A struct keeps nulls that were written: max_by skips rows without an order, not without a value.
-        return F.max_by(F.struct(F.when(~gone, F.col(name)).alias("v")), order)["v"].alias(name)
+        return F.max_by(F.struct(F.when(~gone, F.col(name)).alias("v")), order).alias(name)
 
     last = F.max_by(gone, F.col(sequence)).alias("__deleted")
     return log.groupBy(*keys).agg(*[latest(v) for v in values], last, F.max(sequence).alias("__sequence"))
 
 
+def replay(log: DataFrame, keys: list[str], values: list[str], sequence: str = "sequence_id", op: str = "op", present: str | None = None) -> DataFrame:
+    """The last state by key: keys, values, ``__deleted`` and ``__sequence``."""
+    states = _states(log, keys, values, sequence, op, present)
+    return states.select(*keys, *[F.col(v)["v"].alias(v) for v in values], "__deleted", "__sequence")
+
+
 def live(state: DataFrame) -> DataFrame:
     """Rows of a replayed state that aren't deleted."""
     return state.where(~F.col("__deleted")).drop("__deleted", "__sequence")
 
 
 def merge_on_read(base: DataFrame, log: DataFrame, pk: str, sequence: str = "sequence_id", op: str = "op", present: str = "present") -> DataFrame:
-    """The table of a base snapshot and its log. The log stands after the base: entries of the base's rows
-    are taken as PUTs of before. Only keys of the log are merged; all other rows of the base pass by."""
+    """The table of a base snapshot and the log that stands after it.
+
+    The log is replayed once and joined once with the base, which is read once; columns that the log didn't
+    write keep the base's values. Callers give the regions that the log touches as ``base``; others need no join.
+    """
     values = [c for c in base.columns if c != pk]
-    touched = base.join(log.select(pk).distinct(), pk, "left_semi")
-    as_log = touched.withColumns({sequence: F.lit(-1).cast("long"), op: F.lit("PUT"), present: F.lit(None).cast("array<string>")})
-    merged = live(replay(as_log.unionByName(log.select(*as_log.columns)), [pk], values, sequence, op, present))
-    untouched = base.join(log.select(pk).distinct(), pk, "left_anti")
-    return untouched.select(*base.columns).unionByName(merged.select(*base.columns))
+    states = _states(log, [pk], values, sequence, op, present)
+    new = states.select(F.col(pk).alias("__pk"), "__deleted", *[F.col(v).alias(f"__new_{k}") for k, v in enumerate(values)])
+    joined = base.join(new, F.col(pk) == F.col("__pk"), "full_outer").where(F.col("__deleted").isNull() | ~F.col("__deleted"))
+    merged = {v: F.when(F.col(f"__new_{k}").isNotNull(), F.col(f"__new_{k}")["v"]).otherwise(F.col(f"`{v}`")).alias(v) for k, v in enumerate(values)}
+    return joined.select(*[F.coalesce(pk, "__pk").alias(c) if c == pk else merged[c] for c in base.columns])
 
 
 def apply_summary(log: DataFrame, last_applied: int) -> DataFrame:

@@ -33,11 +33,11 @@ def region_metrics(engine: Engine) -> DataFrame:
 def admin_operation(engine: Engine, operation: str, target: str, path: str | None = None) -> dict[str, Any]:
     """FORCE_GC, COMPACT_REGION, FLUSH_REGION or DEBUG_DUMP; returns success and what was done."""
     if operation == "FORCE_GC":
-        return {"success": True, "expired": engine.catalog.expire()}
+        return {"success": True, "expired": engine.vacuum()}
     if operation == "FLUSH_REGION":
-        return {"success": True, "regions": engine.flush(engine.catalog.region(target).table_name)}
+        return {"success": True, "regions": engine.flush(engine.catalog.region(target).table_name, [target])}
     if operation == "COMPACT_REGION":
-        return {"success": True, "regions": engine.compact(engine.catalog.region(target).table_name)}
+        return {"success": True, "regions": engine.compact(engine.catalog.region(target).table_name, [target])}
     if operation == "DEBUG_DUMP":
         if not path:
             raise InvalidRequest("a dump needs a path")

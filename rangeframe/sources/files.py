@@ -46,10 +46,19 @@ class Files:
             fs.delete(draft, False)
             raise FileExistsError(path)
 
+    def make(self, path: str) -> None:
+        """Make a folder, if it isn't there."""
+        fs, p = self._at(path)
+        fs.mkdirs(p)
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
 
+    def size(self, path: str) -> int:
+        fs, p = self._at(path)
+        return fs.getContentSummary(p).getLength()
+
     def names(self, path: str) -> list[str]:
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []

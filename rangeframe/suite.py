@@ -155,7 +155,7 @@ _REGION_OF = """CASE WHEN o_orderkey < 1000 THEN 'orders-0' WHEN o_orderkey < 25
 
 
 def _routed(spark, d):
-    return routing.with_region(orders(spark, d), key_column("o_orderkey", T.LongType()), _bounds())
+    return routing.with_region(orders(spark, d), "o_orderkey", T.LongType(), _bounds())
 
 
 @query(f"""SELECT {_REGION_OF} AS region_id, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total,

@@ -1,15 +1,20 @@
 """The engine's tables: reads and writes through the log, regions, SQL, streams."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rangeframe.engine import Engine, median_key
-from rangeframe.functions.types import InvalidRequest, TableNotFound
-from rangeframe.operators import access
+from rangeframe.functions.keys import EVERYTHING, encode, intersect, points, unite
+from rangeframe.functions.types import DuplicateKey, EngineError, InvalidRequest, RegionNotAvailable, TableNotFound
+from rangeframe.operators import access, routing
 from rangeframe.operators.replay import live, replay
+from rangeframe.operators.routing import prune, route_for_key, with_region
 from rangeframe.plans import admin, sql
+from rangeframe.plans.cluster import SERVERS
 from rangeframe.streaming.heartbeats import EVENTS, watch
 from rangeframe.streaming.log_apply import Replica, tail_stream
 
@@ -120,7 +125,7 @@ def test_admin(engine, tmp_path):
     assert admin.table_regions(engine, "users").count() == 3 and admin.region_metrics(engine).first().regions == 3
     engine.put("users", {"id": 1, "name": "x"})
     assert admin.admin_operation(engine, "FLUSH_REGION", "users-000000")["regions"] == 1
-    assert admin.admin_operation(engine, "COMPACT_REGION", "users-000000")["regions"] == 3
+    assert admin.admin_operation(engine, "COMPACT_REGION", "users-000000")["regions"] == 1
     assert admin.admin_operation(engine, "DEBUG_DUMP", "users", f"file://{tmp_path}/dump")["success"]
     assert engine.spark.read.parquet(f"file://{tmp_path}/dump").count() == 101
     assert admin.admin_operation(engine, "FORCE_GC", "")["expired"] > 0
@@ -156,3 +161,236 @@ def test_silent_servers_in_a_stream(spark, tmp_path):
         q.stop()
     found = {(r.server_id, r.state) for r in spark.table("silent").collect()}
     assert ("a", "DEAD") in found and ("b", "ONLINE") in found and ("b", "DEAD") not in found and EVENTS
+
+
+# Rows are kept, and statements are whole
+
+
+def test_loads_refuse_what_they_cannot_store(engine, spark):
+    before = rows(engine.table("users"))
+    bad = {
+        "column id is null": [(1, "a"), (None, "b"), (None, "c")],
+        "repeat a key": [(1, "a"), (150, "b"), (1, "c")],
+        "longer than 8": [(1, "much too long")],
+    }
+    for message, given in bad.items():
+        with pytest.raises(EngineError, match=message):
+            engine.load("users", spark.createDataFrame(given, "id long, name string"))
+    with pytest.raises(DuplicateKey):
+        engine.load("users", spark.createDataFrame(bad["repeat a key"], "id long, name string"))
+    with pytest.raises(InvalidRequest, match="not a BIGINT"):
+        engine.load("users", spark.createDataFrame([("x", "a")], "id string, name string"))
+    with pytest.raises(InvalidRequest):
+        engine.load("users", spark.range(3).withColumn("nope", F.lit(1)))
+    assert rows(engine.table("users")) == before
+
+
+def test_gaps_refuse_writes(engine, spark):
+    with pytest.raises(InvalidRequest, match="holds 33 rows"):
+        engine.delete_region("users-000001")
+    engine.put("users", {"id": 160, "name": "x"})
+    with pytest.raises(InvalidRequest, match="flush it first"):
+        engine.catalog.delete_region("users-000001", drop_rows=True)
+    engine.delete_region("users-000001", drop_rows=True)
+    assert engine.flush("users") == 0 and rows(engine.table("users").select("id")) == [(k,) for k in range(0, 300, 3) if not 100 <= k < 200]
+    with pytest.raises(InvalidRequest, match="no region holds the key"):
+        engine.put("users", {"id": 160, "name": "x"})
+    report = engine.batch_put("users", [{"id": k, "name": "n"} for k in (1, 160, 201)]).collect()
+    assert [r.ok for r in sorted(report)] == [True, False, True]
+    with pytest.raises(InvalidRequest, match="no region of users"):
+        engine.load("users", spark.range(300))
+    engine.flush("users")
+    assert engine.get("users", 1).name == "n" and engine.get("users", 160) is None and engine.table("users").count() == 68
+    assert engine.delete("users", 160) is False
+
+
+def test_partial_writes_and_defaults(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/d")
+    e.create_table("CREATE TABLE t (id BIGINT NOT NULL, name VARCHAR(9) NOT NULL, n INT DEFAULT 7, PRIMARY KEY (id))", [10])
+    e.put("t", {"id": 1, "name": "a"})
+    e.put("t", {"id": 1, "n": None})
+    e.put("t", {"id": 2, "name": "b", "n": 3})
+    e.put("t", {"id": 2, "name": "c"})
+    want = [(1, "a", None), (2, "c", 3)]
+    assert rows(e.table("t")) == want
+    with pytest.raises(InvalidRequest, match="column name is missing"):
+        e.put("t", {"id": 3, "n": 1})
+    with pytest.raises(InvalidRequest, match="column name is null"):
+        e.put("t", {"id": 1, "name": None})
+    e.flush("t")
+    assert rows(e.table("t")) == want
+    assert sql.execute_update(e, "UPDATE t SET n = id * 10 WHERE name <> ' WHERE id = 5, n = '") == 2
+    assert sql.execute_update(e, "INSERT INTO t (id, name) VALUES (11, 'a, (b)'), (12, 'WHERE')") == 2
+    assert rows(e.table("t")) == [(1, "a", 10), (2, "c", 20), (11, "a, (b)", 7), (12, "WHERE", 7)]
+    before, sequence = rows(e.table("t")), e.catalog.table("t").log_sequence
+    for bad in ("INSERT INTO t (id, name) VALUES (21, 'x'), (22, NULL)", "UPDATE t SET name = CASE WHEN id = 11 THEN NULL ELSE 'z' END"):
+        with pytest.raises(InvalidRequest, match="column name is null"):
+            sql.execute_update(e, bad)
+    for bad in ("UPDATE t SET id = 4", "UPDATE t SET nope = 4", "UPDATE t SET n = nope", "DELETE FROM t WHERE nope = 1", "UPDATE t SET"):
+        with pytest.raises(InvalidRequest):
+            sql.execute_update(e, bad)
+    assert rows(e.table("t")) == before and e.catalog.table("t").log_sequence == sequence
+    assert e.delete_rows("t", spark.createDataFrame([(1,), (1,), (99,)], "id long")) == 1
+
+
+def test_transactions(engine, spark):
+    sql.execute_update(engine, "CREATE TABLE notes (k VARCHAR(9) PRIMARY KEY)")
+    before, number = rows(engine.table("users")), engine.catalog.state.snapshot
+    with engine.transaction():
+        engine.put("users", {"id": 1, "name": "x"})
+        engine.put("notes", {"k": "y"})
+        assert engine.exists("users", 1) and not Engine(spark, engine.root).exists("users", 1)
+    assert engine.catalog.state.snapshot == number + 1 and Engine(spark, engine.root).exists("notes", "y")
+    with pytest.raises(ZeroDivisionError), engine.transaction():
+        engine.delete("users", 1)
+        1 / 0
+    assert engine.exists("users", 1) and engine.catalog.state.snapshot == number + 1
+    other = Engine(spark, engine.root)
+    with pytest.raises(EngineError, match="is taken"), engine.transaction():
+        engine.put("users", {"id": 4, "name": "late"})
+        other.put("users", {"id": 5, "name": "first"})
+    engine.catalog.refresh()
+    assert rows(engine.table("users")) == sorted([*before, (1, "x", None), (5, "first", None)])
+
+
+def test_log_rolls_and_is_pruned(engine):
+    engine.put("users", {"id": 1, "name": "x"})
+    engine.put("users", {"id": 150, "name": "y"})
+    assert engine.flush("users", ["users-000000"]) == 1 and engine.catalog.touched("users") == {"users-000001"}
+    assert engine.get("users", 1).name == "x" and engine.get("users", 150).name == "y"
+    assert [p.first for p in engine.catalog.table("users").log] == [2]
+    engine.roll_bytes = 0
+    engine.put("users", {"id": 2, "name": "z"})
+    assert engine.catalog.touched("users") == set() and len(engine.catalog.table("users").archive) == 3
+    assert [r.id for r in engine.log_entries("users", 2).collect()] == [150, 2]
+    assert [r.id for r in engine.log_entries("users", 1, region_id="users-000000").collect()] == [1, 2]
+    assert engine.prune_log("users", 2) == 2 and [r.id for r in engine.log_entries("users").collect()] == [2]
+    assert engine.vacuum() > 0 and engine.table("users").count() == 102
+    assert Engine(engine.spark, engine.root).table("users").count() == 102
+
+
+def test_closed_regions_are_not_available(engine):
+    engine.close_region("users-000001")
+    with pytest.raises(RegionNotAvailable):
+        engine.get("users", 150)
+    with pytest.raises(RegionNotAvailable):
+        engine.put("users", {"id": 150, "name": "x"})
+    assert engine.get("users", 99).name == "u99"
+
+
+def test_split_gives_the_right_half_away(engine, spark):
+    servers = spark.createDataFrame([("s1", "h", 1, "ONLINE", None, 9, 0, 0.0, 0.0), ("s2", "h", 1, "ONLINE", None, 1, 0, 0.0, 0.0), ("s3", "h", 1, "DEAD", None, 0, 0, 0.0, 0.0)], SERVERS)
+    assert engine.split_large("users", 1, servers)[0] == "users-000000"
+    right = engine.catalog.region("users-000000b")
+    assert right.primary == "s2" and right.replicas == ("a", "b", "s2") and engine.catalog.region("users-000000a").primary == "a"
+
+
+# Pruning
+
+CONDITIONS = [
+    "2*id = 10", "id = 6 - 1", "6 - id = 5", "name = 'id = 5'", "id BETWEEN 1 AND 2 + 5", "id IN (3, 150, 299, NULL)", "id IN (0,3,6,9,12,15,18,21,24,27,30,33,294)",
+    "150 >= id", "99 < id AND NOT id > 201", "id = 5.5", "id > 98.5 AND id < 102", "cast(id AS int) = 6", "id = '99'", "id <=> 99", "id = (SELECT max(id) FROM users WHERE id < 9)",
+    "id > 198 AND score > 0 OR id < 2 AND score < 5", "id IN (SELECT id + 3 FROM users WHERE id = 96)", "id < 3 OR name = 'u297'", "name LIKE 'u1%' AND id > 100", "id % 50 = 0", "false", "id IS NULL",
+    "EXISTS (SELECT 1 FROM users u WHERE u.id = users.id + 99 AND u.id > 290)", "coalesce(id, 7) = 99", "-id = -99", "id = 99 AND 1 = 1",
+]
+
+
+def test_pruned_queries_find_what_whole_ones_find(engine, spark):
+    engine.put("users", {"id": 5, "name": "five"})
+    engine.delete("users", 150)
+    whole = spark.createDataFrame(engine.table("users").collect(), engine.table("users").schema)
+    for where in CONDITIONS:
+        whole.createOrReplaceTempView("users")
+        want = rows(spark.sql(f"SELECT id FROM users WHERE {where}"))
+        assert rows(sql.execute_query(engine, f"SELECT id FROM users WHERE {where}")) == want, where
+        if "SELECT" not in where:
+            with engine.transaction():
+                assert sql.execute_update(engine, f"DELETE FROM users WHERE {where}") == len(want), where
+                assert not want or not sql.execute_query(engine, f"SELECT id FROM users WHERE {where}").count()
+                engine.catalog._install(engine.catalog._before)
+    join = "SELECT a.id, b.id FROM users a JOIN users b ON a.id = b.id + 3 WHERE a.id = 102 UNION ALL SELECT id, id FROM users WHERE id = 297"
+    assert rows(sql.execute_query(engine, join)) == [(102, 99), (297, 297)]
+
+
+def test_pruning_is_sound_for_random_predicates():
+    """Ranges of keys under AND and OR against sets of keys, and regions against the keys they hold."""
+    rng = random.Random(5)
+    keys = range(-3, 14)
+    holds = lambda ranges, k: any(s <= encode(k) and (e == b"" or encode(k) < e) for s, e in ranges)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.2:
+            v = rng.randrange(-2, 13)
+            return rng.choice([(points([v]), {v}), ([(b"", encode(v))], {k for k in keys if k < v}), ([(encode(v), b"")], {k for k in keys if k >= v}), (EVERYTHING, set(keys)), ([], set())])
+        (a, x), (b, y) = grow(depth - 1), grow(depth - 1)
+        return (intersect(a, b), x & y) if rng.random() < 0.5 else (unite(a, b), x | y)
+
+    for _ in range(400):
+        ranges, want = grow(4)
+        assert {k for k in keys if holds(ranges, k)} == want and ranges == unite(ranges, [])
+        cuts = sorted(rng.sample(range(0, 12), 4))
+        bounds = [(encode(a), encode(b), str(k)) for k, (a, b) in enumerate(zip([None, *cuts], [*cuts, None]))]
+        if rng.random() < 0.5:
+            del bounds[rng.randrange(len(bounds))]
+        hit = prune(bounds, ranges)
+        assert {i for s, e, i in bounds for k in want if s <= encode(k) and (e == b"" or encode(k) < e)} <= set(hit)
+
+
+def test_only_needed_regions_are_read(engine, spark):
+    read = lambda df: sum("users-" in f for f in df.inputFiles())
+    q = lambda where: sql.execute_query(engine, f"SELECT id FROM users WHERE {where}")
+    every = read(engine.table("users"))
+    assert read(q("id = 6 - 1")) < every and read(q("id IN (3, 290)")) < every and read(q("2 * id = 6")) == every
+    assert {f.split("region_id=")[1][:12] for f in engine.batch_get("users", [3, 290]).inputFiles()} == {"users-000000", "users-000002"}
+
+
+# Plans at scale
+
+
+def many(n, step=10):
+    cuts = [None, *(step * k for k in range(1, n)), None]
+    return [(encode(a), encode(b), f"r{k}") for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
+@pytest.mark.parametrize("n", [1, 5, 32, 33, 10_000])
+def test_routing_rows(spark, n):
+    kind, keys = T.LongType(), spark.range(-5, 400).union(spark.createDataFrame([(10**17,), (None,), (99_999,)], "id long"))
+    bounds = many(n)
+    got = {r.id: r.region_id for r in with_region(keys, "id", kind, bounds).collect()}
+    assert all(got[k] == (None if k is None else f"r{min(max(k // 10, 0), n - 1)}") for k in got)
+    plan = with_region(keys, "id", kind, bounds)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Join", "Exchange"))
+    holes = [b for k, b in enumerate(bounds) if k % 3 != 1]
+    got = {r.id: r.region_id for r in with_region(keys, "id", kind, holes).collect()}
+    assert all(got[k] == (None if k is None or (p := min(max(k // 10, 0), n - 1)) % 3 == 1 else f"r{p}") for k in got)
+    words = spark.createDataFrame([("",), ("k0000",), ("k0012x",), ("zz",), ("a",), (None,)], "w string")
+    texts = [None, *(f"k{k:05d}" for k in range(1, n)), None]
+    bounds = [(encode(a), encode(b), f"r{k}") for k, (a, b) in enumerate(zip(texts, texts[1:]))]
+    want = {w: None if w is None else next(i for s, e, i in bounds if s <= w.encode() and (e == b"" or w.encode() < e)) for (w,) in words.collect()}
+    assert {r.w: r.region_id for r in with_region(words, "w", T.StringType(), bounds).collect()} == want
+
+
+def test_routes_for_keys_at_scale(spark, monkeypatch):
+    rows_ = [(t, i, bytearray(s), bytearray(e), "p") for t in ("a", "ab") for s, e, i in [(s, e, t + i) for s, e, i in many(2000)]]
+    rows_ += [("o", "o2", bytearray(b"c"), bytearray(b"m"), "p"), ("o", "o1", bytearray(b"a"), bytearray(b"f"), "p"), ("o", "o3", bytearray(b"x"), bytearray(b"z"), "p")]
+    regions = spark.createDataFrame(rows_, "table_name string, region_id string, start_key binary, end_key binary, primary string")
+    asked = [("a", bytearray(encode(15))), ("ab", bytearray(encode(10**9))), ("none", bytearray(b"x")), ("o", bytearray(b"d")), ("o", bytearray(b"g")), ("o", bytearray(b"n")), ("o", bytearray(b"0")), ("a", bytearray(encode(15)))]
+    keys = spark.createDataFrame(asked, "table_name string, key binary")
+    found = route_for_key(regions, keys)
+    want = sorted(map(str, ["ar1", "abr1999", None, "o1", "o2", None, None, "ar1"]))
+    assert sorted(str(r.region_id) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Python" not in plan and "Cartesian" not in plan
+    monkeypatch.setattr(routing, "LITERAL_REGIONS", 10)
+    assert sorted(str(r.region_id) for r in route_for_key(regions, keys).collect()) == want
+
+
+def test_a_read_scans_the_base_once(engine):
+    engine.put("users", {"id": 1, "name": "x"})
+    plan = engine.table("users")._jdf.queryExecution().executedPlan().toString()
+    leaves = plan.split("== Initial Plan ==")[-1].count("FileScan parquet")
+    assert leaves == 3  # untouched regions, touched regions, the log
+    assert plan.count("FullOuter") >= 1 and "LeftAnti" not in plan and "LeftSemi" not in plan
+    ordered = engine.scan("users", 110, 290)
+    assert "Exchange" not in ordered._jdf.queryExecution().executedPlan().toString()
+    assert [r.id for r in ordered.collect()] == list(range(111, 290, 3)) and [r.id for r in engine.scan("users", 110, 290, reverse=True).collect()] == list(range(288, 110, -3))
