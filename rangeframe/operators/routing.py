@@ -26,7 +26,7 @@ LITERAL_REGIONS = 1_000_000
 
 REGION_SCHEMA = (
     "region_id string, table_name string, start_key binary, end_key binary, replicas array<string>, "
-    "primary string, state string, version int, size_bytes long"
+    "primary string, state string, version int, size_bytes long, rows long"
 )
 
 Bounds = list[tuple[bytes, bytes, str]]

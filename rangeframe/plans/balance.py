@@ -6,15 +6,20 @@ region is; active(source, target) are moves under way.
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rangeframe.functions.types import InvalidRequest
 from rangeframe.plans.cluster import GIB, ONLINE, WEIGHT_GIB, WEIGHT_REGIONS
 
 #: Fixed value: what moving a GiB costs in the benefit of a move.
 COST_GIB = 0.1
+PLANS = "region_id string, source string, target string, benefit double"
 
 
 @dataclass(frozen=True)
@@ -103,7 +108,7 @@ def migration_plans(servers: DataFrame, regions: DataFrame, active: DataFrame, c
             picked.append(tuple(m))
             sources.add(m.source)
             targets.add(m.target)
-    return servers.sparkSession.createDataFrame(picked, "region_id string, source string, target string, benefit double")
+    return servers.sparkSession.createDataFrame(picked, PLANS)
 
 
 class Balancer:
@@ -111,6 +116,8 @@ class Balancer:
 
     def __init__(self, config: BalanceConfig = BalanceConfig(), leader=lambda: True):
         self.config, self.leader, self.last = config, leader, None
+        self._thread: threading.Thread | None = None
+        self._stop = threading.Event()
 
     def cooling(self, now: float) -> bool:
         return self.last is not None and now - self.last < self.config.cooldown_seconds
@@ -121,9 +128,37 @@ class Balancer:
 
     def check(self, servers: DataFrame, regions: DataFrame, active: DataFrame, now: float, force: bool = False) -> DataFrame:
         """Plans if this process leads, the cooldown is over, and balance is needed (or forced)."""
-        plans = self.dry_run(servers, regions, active)
         if not self.leader() or self.cooling(now) or not (force or needs_balance(servers, self.config).first().needs_balance):
-            return plans.limit(0)
+            return servers.sparkSession.createDataFrame([], PLANS)
+        plans = self.dry_run(servers, regions, active)
         if not plans.isEmpty():
             self.last = now
         return plans
+
+    @property
+    def running(self) -> bool:
+        return self._thread is not None and self._thread.is_alive()
+
+    def start(self, read: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], act: Callable[[DataFrame], None], clock: Callable[[], float] = time.monotonic) -> None:
+        """Check every period in a thread: ``read`` gives (servers, regions, active), ``act`` gets plans that aren't empty.
+        A check that fails is reported and the next one comes; a stopped balancer can be started again."""
+        if self.running:
+            raise InvalidRequest("the balancer is running")
+        self._stop.clear()
+
+        def loop() -> None:
+            while not self._stop.wait(self.config.period_seconds):
+                try:
+                    plans = self.check(*read(), clock())
+                    if not plans.isEmpty():
+                        act(plans)
+                except Exception as e:  # noqa: BLE001
+                    print(f"balance check failed: {e}")
+
+        self._thread = threading.Thread(target=loop, name="balancer", daemon=True)
+        self._thread.start()
+
+    def stop(self) -> None:
+        self._stop.set()
+        if self._thread is not None:
+            self._thread.join()

@@ -160,15 +160,27 @@ def recover(servers: DataFrame, server_regions: DataFrame, now: datetime, timeou
     return counted, moved, done
 
 
-#: What to do about a failed region, by the kind of failure.
-RECOVERY = {"DISK_FULL": "MIGRATE", "CORRUPTION": "REBUILD", "CRASH": "RESTART", "NETWORK": "RETRY"}
+#: What to do about a failed region, by the kind of failure: damaged or lagging data comes from another replica, a
+#: broken disk gives its regions away, and what isn't understood is taken off line for a person to look at.
+RECOVERY = {"CORRUPTION": "RESTORE_FROM_REPLICA", "REPLICA_SYNC_FAILED": "RESTORE_FROM_REPLICA", "DISK_ERROR": "REASSIGN", "UNKNOWN_ERROR": "MARK_OFFLINE"}
 
 
-def recovery_action(kind: Column) -> Column:
+def recovery_action(kind: Column, replicas: Column | None = None) -> Column:
+    """The action for a kind of failure; NONE for other kinds. A region without another replica (``replicas``: how many
+    there are) can't be restored from one and is marked off line."""
     action = F.lit("NONE")
     for k, v in RECOVERY.items():
         action = F.when(kind == k, F.lit(v)).otherwise(action)
-    return action
+    if replicas is None:
+        return action
+    return F.when((action == "RESTORE_FROM_REPLICA") & (F.coalesce(replicas, F.lit(0)) < 2), "MARK_OFFLINE").otherwise(action)
+
+
+def report_region_failure(failures: DataFrame, regions: DataFrame) -> DataFrame:
+    """Answers to failure reports (server_id, region_id, failure_type): server_id, region_id, acknowledged, action."""
+    known = regions.select("region_id", F.size("replicas").alias("n"))
+    joined = failures.join(known, "region_id", "left")
+    return joined.select("server_id", "region_id", F.lit(True).alias("acknowledged"), recovery_action(F.col("failure_type"), F.col("n")).alias("action"))
 
 
 def cluster_stats(servers: DataFrame) -> DataFrame:
@@ -181,16 +193,22 @@ def cluster_stats(servers: DataFrame) -> DataFrame:
     )
 
 
-def table_stats(regions: DataFrame) -> DataFrame:
-    """One row over regions(table_name, region_id, size_bytes, state): tables, regions, sizes, splitting ones."""
-    return regions.agg(
+def table_stats(regions: DataFrame, servers: DataFrame | None = None) -> DataFrame:
+    """One row over regions(table_name, region_id, size_bytes, state, and rows if known): tables, regions, sizes, rows, regions
+    that split or migrate, and the queries a second of ONLINE servers (column qps; 0 where nothing reports it)."""
+    rows = F.sum("rows") if "rows" in regions.columns else F.lit(None).cast("long")
+    one = regions.agg(
         F.countDistinct("table_name").alias("tables"),
         F.count(F.lit(1)).alias("regions"),
         F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size_bytes"),
+        F.coalesce(rows, F.lit(0)).alias("total_row_count"),
         (F.avg("size_bytes") / F.lit(float(MIB))).alias("avg_region_mib"),
         F.count_if(F.col("state").isin("SPLITTING")).alias("splitting"),
         F.count_if(F.col("state").isin("MIGRATING")).alias("migrating"),
     )
+    if servers is None or "qps" not in servers.columns:
+        return one.withColumn("total_qps", F.lit(0).cast("long"))
+    return one.crossJoin(online(servers).agg(F.coalesce(F.sum("qps"), F.lit(0)).alias("total_qps")))  # one row and one row
 
 
 def cluster_health(servers: DataFrame, regions: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ change the route is a failure.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from rangeframe.functions.types import IllegalTransition, InvalidRequest
+from rangeframe.functions.types import IllegalTransition, InvalidRequest, RegionState
 
 TASKS = (
     "migration_id string, region_id string, source string, target string, state string, created_ms long, start_ms long, "
@@ -203,3 +204,76 @@ def roll_back_route(catalog, region_id: str, old: str | None) -> None:
     if old is not None:
         catalog.add_replica(region_id, old)
         catalog.set_primary(region_id, old)
+
+
+class Executor(Protocol):
+    """The work of the phases. Each returns True when it has ended, False when it goes on, and raises to fail."""
+
+    def prepare(self, task: Row) -> bool: ...
+    def sync(self, task: Row) -> bool: ...
+    def switch(self, task: Row) -> bool: ...
+    def roll_back(self, task: Row) -> bool: ...
+
+
+class RegionExecutor:
+    """Migrations of an engine's regions. Storage is shared, so what moves is who serves a region: the target becomes a
+    replica, writes that are still in the log reach the region's files (both replicas read the same log meanwhile),
+    and the route changes once the target lags by less than ``lag`` entries."""
+
+    def __init__(self, engine, lag: int = 100):
+        self.engine, self.catalog, self.lag = engine, engine.catalog, lag
+
+    def prepare(self, task: Row) -> bool:
+        r = self.catalog.region(task.region_id)
+        if r.primary != task.source:
+            raise InvalidRequest(f"{task.source} is not the primary of {task.region_id}")
+        self.catalog.add_replica(task.region_id, task.target)
+        self.catalog.set_region_state(task.region_id, RegionState.MIGRATING)
+        return True
+
+    def behind(self, region_id: str) -> int:
+        """Entries of the log for a region that its files don't have: at most what its table's sequence is ahead."""
+        r = self.catalog.region(region_id)
+        t = self.catalog.table(r.table_name)
+        return max((p.last - max(r.applied, p.first - 1) for p in t.log if region_id in p.regions), default=0)
+
+    def sync(self, task: Row) -> bool:
+        r = self.catalog.region(task.region_id)
+        if self.behind(task.region_id):
+            self.engine.flush(r.table_name, [task.region_id])
+        return self.behind(task.region_id) < self.lag
+
+    def switch(self, task: Row) -> bool:
+        switch_route(self.catalog, task.region_id, task.target)
+        self.catalog.set_region_state(task.region_id, RegionState.ONLINE)
+        return True
+
+    def roll_back(self, task: Row) -> bool:
+        r = self.catalog.region(task.region_id)
+        replicas = tuple(s for s in r.replicas if s != task.target)
+        if task.source not in replicas:
+            replicas = (*replicas, task.source)
+        self.catalog.set_replicas(task.region_id, replicas, task.source)
+        self.catalog.set_region_state(task.region_id, RegionState.ONLINE)
+        return True
+
+
+def run_phases(tasks: DataFrame, executor: Executor) -> DataFrame:
+    """Outcomes (migration_id, ok, error) of the work of all tasks in a phase; no row where it goes on. One task's
+    error is its own."""
+    working = tasks.where(F.col("state").isin("PREPARE", "SYNC", "SWITCH", "ROLLING_BACK")).orderBy("created_ms", "migration_id")
+    done = []
+    for task in working.toLocalIterator():  # as many as may be under way at once
+        phase = {"PREPARE": executor.prepare, "SYNC": executor.sync, "SWITCH": executor.switch, "ROLLING_BACK": executor.roll_back}[task.state]
+        try:
+            if phase(task):
+                done.append((task.migration_id, True, None))
+        except Exception as e:  # noqa: BLE001  # a task fails alone
+            done.append((task.migration_id, False, str(e)))
+    return tasks.sparkSession.createDataFrame(done, "migration_id string, ok boolean, error string")
+
+
+def tick(tasks: DataFrame, executor: Executor, now_ms: int, config: MigrationConfig = MigrationConfig()) -> DataFrame:
+    """Every task one step on, after the work of its phase; the result doesn't depend on ``tasks`` being read again."""
+    stepped = step(tasks, run_phases(tasks, executor), now_ms, config)
+    return tasks.sparkSession.createDataFrame(stepped.collect(), TASKS)  # a row per task

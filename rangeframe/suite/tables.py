@@ -1,11 +1,7 @@
-"""Queries of the engine's operators over the TPC-H-like tables, each with the same query in SQL.
-
-``QUERIES`` maps a name to (function, SQL); SQL is None where an operator is sequential or stateful.
-"""
+"""Operators as functions of plain tables: reading, joins, changes, the log, and programs over metadata."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,26 +15,7 @@ from rangeframe.operators import access, joins, mutate, replay, routing
 from rangeframe.plans import balance, cluster, migration, sql
 from rangeframe.sources.catalog import Catalog
 from rangeframe.sources.workspace import new_root, read_table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, tuple[Query, str | None]] = {}
-
-
-def query(text: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = (f, text)
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return {k: f for k, (f, _) in QUERIES.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in QUERIES.items() if s}
-
+from rangeframe.suite.registry import query
 
 ORDERS_DDL = """CREATE TABLE orders (o_orderkey BIGINT NOT NULL, o_custkey BIGINT, o_orderstatus VARCHAR(1), o_totalprice DOUBLE,
     o_orderdate DATETIME, o_orderpriority VARCHAR(20), PRIMARY KEY (o_orderkey))"""
@@ -324,40 +301,26 @@ def put_partial(spark, d):
 _CUSTOMER = TableSchema("customer", (Column("c_custkey", "BIGINT", False), Column("c_name", "VARCHAR(12)", False), Column("c_acctbal", "DOUBLE")), "c_custkey")
 
 
-def _batch(spark, d, which="c_custkey < 60"):
-    c = read_table(spark, d, "customer").where(which)
+def _batch(spark, d):
+    c = read_table(spark, d, "customer")
     name = F.when(F.col("c_custkey") % 5 == 0, F.lit(None)).when(F.col("c_custkey") % 7 == 0, F.lit("a name too long")).otherwise(F.lit("ok"))
     return c.select(F.col("c_custkey").alias("pos"), "c_custkey", name.alias("c_name"), F.lit(0.5).alias("c_acctbal"))
 
 
 @query("""SELECT c_custkey AS pos, NOT (c_custkey % 5 = 0 OR c_custkey % 7 = 0) AS ok,
     CASE WHEN c_custkey % 5 = 0 THEN 'column c_name is null' WHEN c_custkey % 7 = 0 THEN 'column c_name is longer than 12' END AS error,
-    CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN NULL ELSE 101 + c_custkey END AS sequence_id FROM customer WHERE c_custkey < 60""")
+    CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN NULL ELSE 101 + c_custkey END AS sequence_id FROM customer""")
 def batch_put_report(spark, d):
     base = read_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
     return mutate.batch_put(base, _CUSTOMER, _batch(spark, d), 100)[1]
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey < 60 AND c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN 'ok' ELSE c_name END AS c_name FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN 'ok' ELSE c_name END AS c_name FROM customer""")
 def batch_put_rows(spark, d):
     base = read_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
     return mutate.batch_put(base, _CUSTOMER, _batch(spark, d), 100)[0].select("c_custkey", "c_name")
 
 
-@query("""SELECT c_custkey AS pos, NOT (c_custkey % 5 = 0 OR c_custkey % 7 = 0) AS ok,
-    CASE WHEN c_custkey % 5 = 0 THEN 'column c_name is null' WHEN c_custkey % 7 = 0 THEN 'column c_name is longer than 12' END AS error,
-    CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN NULL ELSE 101 + c_custkey END AS sequence_id FROM customer""")
-def batch_put_all_report(spark, d):
-    base = read_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return mutate.batch_put(base, _CUSTOMER, _batch(spark, d, "true"), 100)[1]
-
-
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN 'ok' ELSE c_name END AS c_name FROM customer""")
-def batch_put_all_rows(spark, d):
-    base = read_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return mutate.batch_put(base, _CUSTOMER, _batch(spark, d, "true"), 100)[0].select("c_custkey", "c_name")
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey * 3 FROM customer)")
 def delete_keys(spark, d):
     c = read_table(spark, d, "customer").select("c_custkey", "c_name")
@@ -476,9 +439,12 @@ _ORDER_REGIONS = """(SELECT 'r' || k AS region_id, n * 1048576 AS size_bytes, CA
 
 
 @query(f"""SELECT CAST(1 AS BIGINT) AS tables, count(*) AS regions, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes, round(avg(size_bytes) / 1048576.0, 6) AS avg_region_mib,
-    count(*) FILTER (state = 'SPLITTING') AS splitting, count(*) FILTER (state = 'MIGRATING') AS migrating FROM {_ORDER_REGIONS}""")
+    count(*) FILTER (state = 'SPLITTING') AS splitting, count(*) FILTER (state = 'MIGRATING') AS migrating, CAST(sum(size_bytes) // 1048576 AS BIGINT) AS total_row_count,
+    (SELECT CAST(sum(s_suppkey * 3) AS BIGINT) FROM supplier WHERE s_suppkey % 10 > 1) AS total_qps FROM {_ORDER_REGIONS}""")
 def region_stats(spark, d):
-    return cluster.table_stats(order_regions(spark, d)).withColumn("avg_region_mib", F.round("avg_region_mib", 6))
+    rows = order_regions(spark, d).withColumn("rows", (F.col("size_bytes") / 1048576).cast("long"))
+    loaded = servers(spark, d).withColumn("qps", F.col("server_id").cast("long") * 3)
+    return cluster.table_stats(rows, loaded).withColumn("avg_region_mib", F.round("avg_region_mib", 6))
 
 
 # The cluster: suppliers stand for servers
@@ -524,15 +490,21 @@ def latest_heartbeat(spark, d):
     return cluster.latest_heartbeats(beats).select("server_id", "ts")
 
 
-@query(f"""SELECT server_id, CASE WHEN state = 'DEAD' AND CAST(server_id AS INT) % 3 = 0 THEN 'ONLINE' ELSE state END AS state,
-    CASE WHEN CAST(server_id AS INT) % 3 = 0 THEN 99 ELSE region_count END AS region_count FROM {_SERVERS}""")
+@query("""WITH s AS (SELECT s_suppkey AS k, s_suppkey % 3 = 0 AS beat, * FROM supplier)
+    SELECT CAST(k AS VARCHAR) AS server_id, s_name AS host, 8000 AS port, CASE WHEN k % 10 = 0 AND NOT beat THEN 'DEAD' WHEN k % 10 = 1 THEN 'OFFLINE' ELSE 'ONLINE' END AS state,
+    epoch_ms(TIMESTAMP '2024-01-30') - CASE WHEN beat THEN 0 ELSE (k % 45) * 1000 END AS seen_ms, CAST(CASE WHEN beat THEN 99 ELSE k % 7 END AS BIGINT) AS region_count,
+    CASE WHEN beat THEN 5 ELSE (k % 5) * 1073741824 END AS total_size_bytes, CASE WHEN beat THEN 12.5 ELSE CAST(k % 100 AS DOUBLE) END AS cpu_usage,
+    CASE WHEN beat THEN 50.5 ELSE CAST((k * 7) % 100 AS DOUBLE) END AS memory_usage FROM s""")
 def send_heartbeats(spark, d):
     s = servers(spark, d)
     beats = s.where(F.col("server_id").cast("int") % 3 == 0).select(
-        "server_id", F.lit(NOW).cast("timestamp").alias("ts"), F.lit(99).alias("region_count"), "total_size_bytes", "cpu_usage", "memory_usage", F.array(F.lit("x")).alias("region_ids")
-    )
+        "server_id", F.lit(NOW).cast("timestamp").alias("ts"), F.lit(99).alias("region_count"), F.lit(5).cast("long").alias("total_size_bytes"), F.lit(12.5).alias("cpu_usage"), F.lit(50.5).alias("memory_usage"),
+        F.array(F.lit("x")).alias("region_ids"),
+    )
+    late = beats.withColumns({"ts": F.expr("ts - INTERVAL 1 HOUR"), "region_count": F.lit(1), "cpu_usage": F.lit(0.0)})
     none = spark.createDataFrame([], cluster.SERVER_REGIONS)
-    return cluster.apply_heartbeats(s, none, beats)[0].select("server_id", "state", F.col("region_count").cast("long").alias("region_count"))
+    out = cluster.apply_heartbeats(s, none, late.unionByName(beats))[0]
+    return out.select("server_id", "host", "port", "state", F.unix_millis("last_heartbeat").alias("seen_ms"), F.col("region_count").cast("long").alias("region_count"), "total_size_bytes", "cpu_usage", "memory_usage")
 
 
 @query(f"""SELECT count(*) AS total_servers, count(*) FILTER (state = 'ONLINE') AS online_servers, count(*) FILTER (state = 'DEAD') AS dead_servers,
@@ -556,16 +528,22 @@ def cluster_health(spark, d):
     return cluster.cluster_health(servers(spark, d), _replicas(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE lost AS (SELECT s.server_id, r.region_id, row_number() OVER (ORDER BY s.server_id, r.region_id) AS i
+        FROM {_ORDER_REGIONS} r JOIN {_SERVERS} s ON s.server_id = CAST(r.k % 14 + 31 AS VARCHAR) WHERE s.state = 'ONLINE' AND s.silent > 30),
+    step(i, target, pool) AS (
+        SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), list_sort(list({{'load': load, 'id': server_id}})) FROM {_SERVERS} WHERE state = 'ONLINE' AND silent <= 30
+        UNION ALL SELECT i + 1, pool[1].id, list_sort(list_append(pool[2:], {{'load': pool[1].load + 0.5::DOUBLE, 'id': pool[1].id}})) FROM step WHERE i < (SELECT count(*) FROM lost))
+    SELECT lost.server_id, lost.region_id, step.target FROM lost JOIN step USING (i)""")
 def recovery_plan(spark, d):
     """Greedy reassignment of silent servers' regions: each choice depends on the ones before."""
     placed = order_regions(spark, d).select((F.col("k") % 14 + 31).cast("string").alias("server_id"), "region_id", "size_bytes")
     return cluster.recover(servers(spark, d), placed, NOW)[2]
 
 
-@query("SELECT * FROM (VALUES ('CRASH', 'RESTART'), ('DISK_FULL', 'MIGRATE'), ('OTHER', 'NONE')) t(kind, action)")
+@query("""SELECT * FROM (VALUES ('CORRUPTION', 'RESTORE_FROM_REPLICA'), ('REPLICA_SYNC_FAILED', 'RESTORE_FROM_REPLICA'), ('DISK_ERROR', 'REASSIGN'),
+    ('UNKNOWN_ERROR', 'MARK_OFFLINE'), ('OTHER', 'NONE')) t(kind, action)""")
 def recovery_actions(spark, d):
-    kinds = spark.createDataFrame([("CRASH",), ("DISK_FULL",), ("OTHER",)], "kind string")
+    kinds = spark.createDataFrame([(k,) for k in ("CORRUPTION", "REPLICA_SYNC_FAILED", "DISK_ERROR", "UNKNOWN_ERROR", "OTHER")], "kind string")
     return kinds.withColumn("action", cluster.recovery_action(F.col("kind")))
 
 
@@ -595,11 +573,22 @@ def can_start_migration(spark, d):
     return balance.can_start(names, spark.createDataFrame([("rs-001", "rs-002")], "source string, target string"))
 
 
-@query()
+@query(f"""WITH up AS (SELECT * FROM {_SERVERS} WHERE state = 'ONLINE'), a AS (SELECT avg(load) AS average FROM up),
+    src AS (SELECT up.*, average FROM up, a WHERE load > average * 1.5 AND region_count >= 2), dst AS (SELECT up.* FROM up, a WHERE load < average),
+    m AS (SELECT r.region_id, src.server_id AS source, dst.server_id AS target, src.load AS source_load, dst.load AS target_load, average, r.size_bytes / 1073741824.0::DOUBLE AS g,
+        0.5::DOUBLE + 0.3::DOUBLE * (r.size_bytes / 1073741824.0::DOUBLE) AS w FROM {_ORDER_REGIONS} r JOIN src ON src.server_id = CAST(r.k % 10 + 90 AS VARCHAR), dst),
+    b AS (SELECT *, (source_load - average) * (source_load - average) + (target_load - average) * (target_load - average)
+        - ((source_load - w - average) * (source_load - w - average) + (target_load + w - average) * (target_load + w - average)) - 0.1::DOUBLE * g AS benefit FROM m),
+    best AS (SELECT * FROM b WHERE benefit > 0 QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY benefit DESC, region_id) = 1),
+    o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY benefit DESC, region_id, target) AS n FROM best),
+    p AS (SELECT *, row_number() OVER (ORDER BY source_load DESC, source, n) AS i FROM o), f AS (SELECT * FROM p WHERE i = 1),
+    s AS (SELECT p.* FROM p, f WHERE p.source <> f.source AND p.target <> f.target ORDER BY p.i LIMIT 1)
+    SELECT region_id, source, target, round(benefit, 6) AS benefit FROM (SELECT * FROM f UNION ALL SELECT * FROM s)""")
 def migration_plans(spark, d):
     """Greedy plans: at most one per source and target, up to the limit of active moves."""
     placed = order_regions(spark, d).select("region_id", (F.col("k") % 10 + 90).cast("string").alias("server_id"), "size_bytes", F.lit("ONLINE").alias("state"))
-    return balance.migration_plans(_loads(spark, d), placed, spark.createDataFrame([], "source string, target string"))
+    plans = balance.migration_plans(_loads(spark, d), placed, spark.createDataFrame([], "source string, target string"))
+    return plans.withColumn("benefit", F.round("benefit", 6))
 
 
 _STATE_OF = """CASE event_type WHEN 'click' THEN 'PENDING' WHEN 'view' THEN 'PREPARE' WHEN 'purchase' THEN 'SYNC' WHEN 'signup' THEN 'ROLLING_BACK' ELSE 'FAILED' END"""
@@ -632,9 +621,27 @@ def migration_statistics(spark, d):
     return migration.statistics(_tasks(spark, d)).withColumn("success_rate", F.round("success_rate", 9))
 
 
-@query("""SELECT CAST(event_id AS VARCHAR) AS migration_id, CASE event_id % 6 WHEN 0 THEN 'PREPARE' WHEN 1 THEN 'COMPLETED' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'CANCELLED' WHEN 4 THEN 'COMPLETED'
-    ELSE CASE WHEN event_id % 12 = 5 THEN 'SWITCH' WHEN 200000 - event_id - 1000 > 300000 THEN 'ROLLING_BACK' ELSE 'SYNC' END END AS state FROM events""")
+@query("""WITH t AS (SELECT event_id AS i, event_id % 6 AS m, event_id % 12 = 5 AS ok, event_id % 12 = 11 AND 200000 - event_id - 1000 > 300000 AS late FROM events)
+    SELECT CAST(i AS VARCHAR) AS migration_id, CASE m WHEN 0 THEN 'PREPARE' WHEN 1 THEN 'COMPLETED' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'CANCELLED' WHEN 4 THEN 'COMPLETED'
+        ELSE CASE WHEN ok THEN 'SWITCH' WHEN late THEN 'ROLLING_BACK' ELSE 'SYNC' END END AS state,
+    i AS created_ms, i + 1000 AS start_ms, CASE WHEN m = 0 OR (m = 5 AND (ok OR late)) THEN 200000 ELSE i + 1000 END AS phase_ms, CASE WHEN m IN (1, 4) THEN i * 3 + 2000 END AS end_ms,
+    CAST(i % 4 AS INTEGER) AS retry_count, CAST(NULL AS BIGINT) AS retry_at_ms, false AS switched, CASE WHEN m = 5 AND late THEN 'sync timed out' END AS error FROM t""")
 def migration_step(spark, d):
     tasks = _tasks(spark, d)
     done = tasks.where(F.col("created_ms") % 12 == 5).select("migration_id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
-    return migration.step(tasks, done, 200000).select("migration_id", "state")
+    return migration.step(tasks, done, 200000).drop("region_id", "source", "target")
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS migration_id, CASE WHEN event_id % 3 = 0 THEN 'ROLLING_BACK' WHEN event_id % 3 = 1 THEN 'FAILED' ELSE 'PENDING' END AS state,
+    CASE WHEN event_id % 3 = 2 THEN NULL ELSE 500000 END AS phase_ms, CASE WHEN event_id % 3 = 1 THEN 500000 END AS end_ms,
+    CAST(event_id % 4 + CASE WHEN event_id % 3 = 1 AND event_id % 4 < 3 THEN 1 ELSE 0 END AS INTEGER) AS retry_count,
+    CASE WHEN event_id % 3 = 1 AND event_id % 4 < 3 THEN 500000 + 60000 * (2 ** (event_id % 4))::BIGINT END AS retry_at_ms,
+    CASE WHEN event_id % 3 = 0 THEN 'disk' WHEN event_id % 3 = 1 THEN 'why' END AS error FROM events""")
+def migration_retries(spark, d):
+    """One step of tasks whose sync failed, whose rollback ended, and whose retry is due."""
+    kind = F.col("created_ms") % 3
+    state = F.when(kind == 0, "SYNC").when(kind == 1, "ROLLING_BACK").otherwise("FAILED")
+    due = F.when(kind == 2, F.lit(400000).cast("long"))
+    tasks = _tasks(spark, d).withColumns({"state": state, "retry_at_ms": due, "error": F.when(kind > 0, F.lit("why")), "end_ms": F.when(kind == 2, F.col("created_ms"))})
+    done = tasks.where(kind < 2).select("migration_id", (kind == 1).alias("ok"), F.when(kind == 0, F.lit("disk")).alias("error"))
+    return migration.step(tasks, done, 500000).select("migration_id", "state", "phase_ms", "end_ms", "retry_count", "retry_at_ms", "error")

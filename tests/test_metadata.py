@@ -1,12 +1,14 @@
 """Types, keys, catalog, routing, cluster, balancing and migrations on small literal cases."""
 
 import random
+import threading
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rangeframe.engine import Engine
 from rangeframe.functions.keys import encode, key_column
 from rangeframe.functions.types import (
     Column,
@@ -22,8 +24,10 @@ from rangeframe.functions.types import (
     parse_type,
 )
 from rangeframe.operators import routing
-from rangeframe.plans import balance, cluster, migration
+from rangeframe.plans import admin, balance, cluster, migration
 from rangeframe.sources.catalog import Catalog
+from rangeframe.sources.jdbc import predicates, read_jdbc
+from rangeframe.streaming.log_apply import Replica
 
 T0 = datetime(2024, 1, 1)
 USERS = TableSchema("users", (Column("user_id", "BIGINT", False), Column("username", "VARCHAR(50)", False), Column("email", "VARCHAR(100)")), "user_id")
@@ -88,20 +92,6 @@ def test_catalog(spark, tmp_path):
     assert again.expire() > 0 and Catalog(spark, f"file://{tmp_path}/c").state == again.state
 
 
-@pytest.mark.parametrize("limit", [2048, 3])
-def test_every_key_has_one_region(spark, monkeypatch, limit):
-    monkeypatch.setattr(routing, "LITERAL_REGIONS", limit)
-    cuts = sorted(random.Random(5).sample(range(-1000, 1000), 30))
-    edges = [None, *cuts, None]
-    bounds = [(encode(a), encode(b), f"r{k}") for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-    keys = spark.createDataFrame([(k,) for k in [*range(-1100, 1100, 7), *cuts]], "k long")
-    found = routing.with_region(keys, key_column("k", T.LongType()), bounds).collect()
-    for r in found:
-        assert r.region_id == f"r{sum(c <= r.k for c in cuts)}"
-    gap = routing.with_region(keys, key_column("k", T.LongType()), [bounds[3]]).where("region_id is not null").collect()
-    assert {r.k for r in gap} == {r.k for r in keys.collect() if cuts[2] <= r.k < cuts[3]}
-
-
 def test_membership(spark):
     servers = spark.createDataFrame([], cluster.SERVERS)
     servers, a = cluster.register(servers, "rs-001", "localhost", 8001, T0)
@@ -244,3 +234,102 @@ def test_health(spark):
     assert cluster.cluster_health(servers, region("ONLINE", ["b"])).first().status == "CRITICAL"
     assert cluster.cluster_health(servers.where("server_id = 'a'"), region("ONLINE", ["a"])).first().status == "HEALTHY"
     assert cluster.cluster_health(servers.limit(0), region("ONLINE", []).limit(0)).first().status == "CRITICAL"
+
+
+def test_balancer_loop(spark):
+    s = spark.createDataFrame([("a", "ONLINE", 9.0, 5), ("b", "ONLINE", 1.0, 1)], "server_id string, state string, load double, region_count int")
+    r = spark.createDataFrame([("r1", "a", 1 << 30, "ONLINE")], "region_id string, server_id string, size_bytes long, state string")
+    idle, seen, calls = spark.createDataFrame([], "source string, target string"), threading.Event(), []
+    b = balance.Balancer(balance.BalanceConfig(period_seconds=0.01, cooldown_seconds=0))
+
+    def read():
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("a check that fails")
+        return s, r, idle
+
+    for _ in range(2):  # a stopped one starts again
+        seen.clear()
+        b.start(read, lambda plans: (plans.count() == 1) and seen.set())
+        with pytest.raises(InvalidRequest):
+            b.start(read, print)
+        assert seen.wait(60) and b.running
+        b.stop()
+        assert not b.running
+
+
+def test_replica_takes_late_entries(spark, tmp_path):
+    r = Replica(spark, f"file://{tmp_path}/r", ["k"], ["v"])
+    entries = lambda *rows: spark.createDataFrame(list(rows), "sequence_id long, op string, k string, v int")
+    assert r.state() is None and r.apply(entries()) == (0, -1)
+    assert r.apply(entries((5, "PUT", "a", 5), (6, "DELETE", "b", None)), 0) == (2, 6)
+    assert r.apply(entries((9, "PUT", "z", 9)), 0) == (0, 6)  # a batch that ran before
+    assert r.apply(entries((1, "PUT", "c", 1), (2, "PUT", "a", 2), (3, "PUT", "b", 3)), 1) == (0, 6)
+    r.COMPACT = 2
+    assert r.apply(entries((7, "PUT", "d", 7)), 2) == (1, 7) and len(r._meta()["parts"]) == 1
+    assert sorted(map(tuple, r.live().collect())) == [("a", 5), ("c", 1), ("d", 7)]
+
+
+def test_jdbc_source(spark):
+    schema = TableSchema("people", (Column("id", "BIGINT", False), Column("name", "VARCHAR(20)")), "id")
+    edges = [None, 10, 20, None]
+    bounds = [(encode(a), encode(b), str(k)) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    assert predicates(schema, bounds) == ["id < 10", "id >= 10 AND id < 20", "id >= 20"]
+    names = TableSchema("t", (Column("k", "VARCHAR(9)"),), "k")
+    assert predicates(names, [(b"", b"", "0"), (b"o'c", b"", "1")]) == ["1 = 1", "k >= 'o''c'"]
+    url = "jdbc:derby:memory:people;create=true"
+    rows = spark.range(5, 25).select(F.col("id").alias("ID"), F.concat(F.lit("n"), "id").alias("NAME"))
+    rows.write.jdbc(url, "people", mode="overwrite", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    got = read_jdbc(spark, url, schema, bounds, properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    assert got.rdd.getNumPartitions() == 3 and sorted(map(tuple, got.collect())) == [(k, f"n{k}") for k in range(5, 25)]
+
+
+def test_admin_of_regions_and_servers(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/e")
+    e.create_table(USERS, [10, 20], ("a", "b"))
+    e.load("users", spark.range(30).select(F.col("id").alias("user_id"), F.lit("x").alias("username")))
+    rows = [("a", "h", 1, "ONLINE", T0, 9, 0, 0.0, 0.0), ("b", "h", 1, "ONLINE", T0, 0, 0, 0.0, 0.0), ("c", "h", 1, "DEAD", T0, 0, 0, 0.0, 0.0)]
+    s = spark.createDataFrame(rows, cluster.SERVERS)
+    assert [r.region_id for r in admin.regions(e).collect()] == [f"users-00000{k}" for k in range(3)]
+    with pytest.raises(InvalidRequest):
+        admin.move_region(e, "users-000001", "c", s)
+    assert admin.move_region(e, "users-000001", "b", s)["primary"] == "b"
+    assert [r.server_id for r in admin.region_servers(s).collect()] == ["b", "c", "a"]
+    assert admin.server_metrics(s, "a").first().load == 4.5
+    with pytest.raises(InvalidRequest):
+        admin.server_metrics(s, "z")
+    m = admin.cluster_metrics(e, s).first()
+    assert (m.tables, m.regions, m.total_row_count, m.total_qps) == (1, 3, 30, 0)
+    b = balance.Balancer()
+    status = admin.balance_status(s, b).first()
+    assert status.needs_balance and not status.running
+    tasks = admin.balance_run(e, s, spark.createDataFrame([], migration.TASKS), b, 1000)
+    assert [(t.source, t.target, t.state) for t in tasks.collect()] == [("a", "b", "PENDING")]
+
+
+def test_executor_rolls_back(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/e")
+    e.create_table(USERS, None, ("a",))
+    tasks, m = migration.submit(spark.createDataFrame([], migration.TASKS), "users-000000", "a", "b", 0)
+
+    class Broken(migration.RegionExecutor):
+        def switch(self, task):
+            super().switch(task)
+            raise RuntimeError("lost")
+
+    states = []
+    for now in range(1, 8):
+        tasks = migration.tick(tasks, Broken(e), now * 1000)
+        states.append(tasks.first().state)
+    r = e.catalog.region("users-000000")
+    assert states[:5] == ["PREPARE", "SYNC", "SWITCH", "ROLLING_BACK", "FAILED"] and tasks.first().error == "lost"
+    assert (r.primary, r.replicas, r.state) == ("a", ("a",), "ONLINE") and tasks.first().retry_count == 1
+
+
+def test_metadata_of_many_regions_stays_small_to_write(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/c")
+    c.create_table(USERS, [encode(k) for k in range(20_000)])
+    manifest = c.state.manifests["users"]
+    c.update_table("users", log_sequence=5)
+    assert c.state.manifests["users"] == manifest and c.files.size(f"{c.root}/catalog/{c.state.snapshot:012d}.json") < 2000
+    assert Catalog(spark, c.root).state == c.state

@@ -37,7 +37,7 @@ def test_query(spark, db, name):
 
 
 def test_batch_put_covers_the_whole_table(spark):
-    assert suite.QUERIES["batch_put_all_report"][0](spark, SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
+    assert suite.QUERIES["batch_put_report"][0](spark, SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
 
 
 def test_flagship(spark):
@@ -47,18 +47,18 @@ def test_flagship(spark):
 def test_pushdown(spark):
     from rangeframe.operators import access
 
-    rows = access.scan(suite.orders(spark, SF), "o_orderkey", 10, 20, ["o_custkey"], "o_totalprice > 5")
+    rows = access.scan(suite.tables.orders(spark, SF), "o_orderkey", 10, 20, ["o_custkey"], "o_totalprice > 5")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderkey,10)" in plan and "LessThan(o_orderkey,20)" in plan and "GreaterThan(o_totalprice,5.0)" in plan
     assert "o_comment" not in plan and "o_orderstatus" not in plan
 
 
 def test_colocated_join_has_no_shuffle(spark):
-    df = suite.join_colocated(spark, SF)
+    df = suite.tables.join_colocated(spark, SF)
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_region_pruning(spark):
-    engine = suite.orders_engine(spark, SF, 200)
+    engine = suite.tables.orders_engine(spark, SF, 200)
     files = engine.table("orders", 250, 350).inputFiles()
     assert files and all("region_id=orders-000001" in f for f in files)
