@@ -22,13 +22,16 @@ BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. Read from the session; set here only where it is unset."""
+    """The folder all executors see. Read from the session; where it is unset a temporary one is set for a local
+    master, and on a cluster, whose machines don't share one, that is an error."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="rangeframe-shared-")
     spark.sparkContext.setCheckpointDir(f"file://{path}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -42,7 +45,28 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more: what came of them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def apart(names: list[str], *wanted: str) -> list[str]:
+    """For each wanted working name, one that no column of ``names`` has (whatever its case)."""
+    taken = {n.lower() for n in names}
+    out = []
+    for w in wanted:
+        while w.lower() in taken:
+            w = f"_{w}"
+        taken.add(w.lower())
+        out.append(w)
+    return out
 
 
 def held_out(doc_id: str, folds: int, fold: int) -> Column:
@@ -94,8 +118,9 @@ def map_text(
     ``make`` is called once per task and may load models; batches are cut at BATCH_BYTES so that
     one run of very long texts doesn't grow a worker.
     """
-    source = df.select(*keep, F.col(text).alias("__text"))
-    out = source.select(*keep).schema
+    quoted = [F.col(f"`{k}`") for k in keep]
+    source = df.select(*quoted, F.col(f"`{text}`").alias(apart(keep, "__text")[0]))
+    out = df.select(*quoted).schema
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out]
     full = ", ".join([*fields, schema])
     target = to_arrow_schema(StructType.fromDDL(full))

@@ -100,33 +100,66 @@ def test_exact_dedup(spark, docs, odd, empty):
             if r.doc_id is not None:
                 largest[r.text or ""] = max(largest.get(r.text or "", -1), r.doc_id)
         want = sorted(repr((r.doc_id, (m := largest.get(t)), count[t], r.doc_id == m, hashlib.sha256(t.encode()).hexdigest())) for r in rows for t in [r.text or ""])
-        got = exact_dedup.exact_dedup(table, capacity=8, max_depth=10)
-        assert sorted(repr(tuple(r)[:5]) for r in got.collect()) == want
+        for hot_rows in (1, exact_dedup.HOT_ROWS):
+            got = exact_dedup.exact_dedup(table, capacity=8, hot_rows=hot_rows)
+            assert sorted(repr(tuple(r)[:5]) for r in got.collect()) == want
     assert exact_dedup.exact_dedup(empty).collect() == []
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_directory_splits_overfull_buckets(spark):
-    hashes = spark.range(500).select(F.xxhash64("id").alias("h"))
-    rows = exact_dedup.directory(hashes, capacity=20, max_depth=8).collect()
-    counts = Counter((r.h % (1 << 64)) >> 56 for r in hashes.collect())
-    assert len({r.cell for r in rows}) == len(rows) and set(counts) <= {r.cell for r in rows}
+@pytest.mark.parametrize("crowd", [0, 300])
+def test_directory_splits_overfull_buckets(spark, crowd):
+    """Every bucket is within the capacity, and no bucket is split whose parent wasn't overfull; ``crowd`` hashes share 14 bits."""
+    spread = spark.range(500).select(F.xxhash64("id").alias("h"))
+    hashes = spread.unionByName(spark.range(crowd).select((F.lit(77 << 50) + F.col("id") * (1 << 42)).alias("h")))
+    pointers, depth = exact_dedup.directory(hashes, 20)
+    rows = pointers.collect()
+    counts = Counter((r.h % (1 << 64)) >> (64 - depth) for r in hashes.collect())
+    assert depth > (14 if crowd else 4) and len({r.cell for r in rows}) == len(rows) and set(counts) <= {r.cell for r in rows}
     held_by = Counter()
     for r in rows:
         held_by[r.bucket] += counts[r.cell]
-        assert r.cell >> (8 - r.depth) == r.bucket >> (8 - r.depth)
+        assert r.cell >> (depth - r.depth) == r.bucket >> (depth - r.depth)
     for r in rows:
-        assert held_by[r.bucket] == r.held and (r.held <= 20 or r.depth == 8)
+        assert held_by[r.bucket] == r.held <= 20 and r.final
         if r.depth > exact_dedup.START_DEPTH:
-            side = r.bucket >> (9 - r.depth)
-            assert sum(n for c, n in counts.items() if c >> (9 - r.depth) == side) > 20
+            side = r.bucket >> (depth + 1 - r.depth)
+            assert sum(n for c, n in counts.items() if c >> (depth + 1 - r.depth) == side) > 20
 
 
-def test_colliding_hashes_stay_apart(spark):
+def indexed(rows, hot_rows):
+    hashes = rows.groupBy("h").agg(F.lit(100).alias("weight"), (F.count("*") > hot_rows).alias("hot"))
+    pointers, depth = exact_dedup.directory(hashes, 8)
+    return exact_dedup.build_index(rows, hashes, hashes.where("hot").select("h"), pointers, depth)
+
+
+@pytest.mark.parametrize("hot_rows", [1, 100])
+def test_colliding_hashes_stay_apart(spark, hot_rows):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, body string").withColumn("h", F.lit(5).cast("long"))
-    _, entries = exact_dedup.build_index(rows, 8, 8)
-    assert sorted((r.chain, r.keep_id, r.group_size) for r in entries.collect()) in ([(0, 2, 1), (1, 3, 2)], [(0, 3, 2), (1, 2, 1)])
+    entries = indexed(rows, hot_rows).collect()
+    assert sorted((r.chain, r.keep_id, r.group_size) for r in entries) in ([(0, 2, 1), (1, 3, 2)], [(0, 3, 2), (1, 2, 1)])
+
+
+def test_results_come_through_the_directory(spark, docs, monkeypatch):
+    """Texts of which the directory knows no bucket have no entry and are not found."""
+    whole, real = exact_dedup.exact_dedup(docs).count(), exact_dedup.directory
+
+    def half(hashes, capacity):
+        pointers, depth = real(hashes, 8)
+        return pointers.where("cell % 2 = 0"), depth
+
+    monkeypatch.setattr(exact_dedup, "directory", half)
+    assert 0 < exact_dedup.exact_dedup(docs).count() < whole == docs.count()
+
+
+def test_owners_take_key_ranges(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "OWNED", 4000)
+    hashes = spark.range(500).select(F.xxhash64("id").alias("h"), F.lit(100).alias("weight"))
+    pointers, depth = exact_dedup.directory(hashes, 20)
+    ranges, n = exact_dedup.owners(pointers, hashes, depth)
+    rows = ranges.orderBy("bucket").collect()
+    assert n == 13 and [r.owner for r in rows] == sorted(r.owner for r in rows) and {r.owner for r in rows} == set(range(13))
 
 
 # Language ID
