@@ -69,6 +69,23 @@ def apart(names: list[str], *wanted: str) -> list[str]:
     return out
 
 
+#: Keys that may count as hot, and rows that one has at least.
+HOT_KEYS, HOT_ROWS = 10_000, 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per ``key`` and the number of rows that have it in ``count``.
+
+    Keys of more than max(HOT_ROWS, total / HOT_KEYS) rows, of which there are at most HOT_KEYS, are looked up by a
+    broadcast where their rows lie; only the others are shuffled.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(table.where(F.col(count) > most).drop(count))
+    cold = table.where(F.col(count) <= most).drop(count)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key))
+
+
 def held_out(doc_id: str, folds: int, fold: int) -> Column:
     """True where crc32(doc_id as text) mod ``folds`` is ``fold``; a null id counts as empty text."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

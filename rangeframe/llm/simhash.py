@@ -9,8 +9,10 @@ By the triangle inequality a pair within radius r can only be torn where one dis
 and the other in (mu, mu + r]; such codes also visit the other side. A code has one home shard and is
 compared there with homes and visitors, so every pair within the radius meets, and a code away from the
 boundaries is pruned from the other branch. Trees are fitted on the driver to a bounded sample of codes
-(SAMPLE); the sample shapes the shards only, all codes are routed by executors. A shard that holds more
-than its bound all the same is cut into blocks and each pair of blocks is a group of its own.
+(SAMPLE); the sample shapes the shards only, all codes are routed by executors. A shard that holds more than its
+bound gets a tree of its own, as deep as its rows ask for, whose vantage codes come from its number, so that
+executors need nothing but that depth; codes that no tree tells apart (equal ones) are cut into blocks, and each
+pair of blocks is a group of its own.
 
 Inside a group, codes are sorted by distance to one more vantage code, compared with their neighbours
 within the radius, and joined in a union-find: at most one link per code leaves a group, never all pairs.
@@ -25,10 +27,10 @@ judged by the exact Jaccard similarity of its sets of shingle hashes. A componen
 cut: each block is compared with itself and the component's hub, and only what isn't joined to the hub
 afterwards is compared with the other blocks.
 
-Cases: null texts are empty; texts without words have fingerprint zero and link like any other; fewer words
+Cases: null texts are empty (null and empty texts are one text); texts without words have fingerprint zero and link like any other; fewer words
 than a shingle make one shingle; texts of any length are read whole; a component whose doc_ids are all null
 has component_id null; rows with equal doc_id and text are one document; an empty table gives an empty
-result; further columns are ignored.
+result; further columns are ignored, or pass through ``drop_similar``, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangeframe.llm.common import map_text, materialize
+from rangeframe.llm.common import apart, discard, join_counted, map_text, materialize
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
 #: Codes of a tree that shape it, codes that a shard is meant to hold, and rows beyond which it is cut.
@@ -181,11 +183,31 @@ def fit_tree(codes: np.ndarray, scale: float, radius: int, shard: int = SHARD, s
     return tree
 
 
-def route(tree: Tree, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, home) for each shard that a code lives in or visits."""
+def inner_tree(shard: int, depth: int, radius: int) -> Tree:
+    """A tree for an overfull shard, ``depth`` levels deep: vantage codes are drawn from the shard's number, one for a
+    level, and parted at the usual distance of codes that have nothing to do with each other."""
+    rng = np.random.default_rng([shard, depth])
+    vantage = rng.integers(0, 1 << 32, depth).tolist()
+    tree = Tree(radius)
+
+    def grow(level: int) -> int:
+        if level == depth:
+            return tree.leaf()
+        k = tree.add(vantage[level], 15)
+        tree.left[k] = grow(level + 1)
+        tree.right[k] = grow(level + 1)
+        return k
+
+    grow(0)
+    return tree
+
+
+def route(tree: Tree, codes: np.ndarray, at_home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, home) for each shard that a code lives in or visits; codes that aren't ``at_home`` only visit."""
     vantage, mu = np.array(tree.vantage, np.uint64), np.array(tree.mu)
     left, right, shard = np.array(tree.left), np.array(tree.right), np.array(tree.shard)
-    row, node, home = np.arange(len(codes)), np.zeros(len(codes), np.int64), np.ones(len(codes), bool)
+    row, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+    home = np.ones(len(codes), bool) if at_home is None else at_home.copy()
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(row):
         leaf = left[node] < 0
@@ -284,9 +306,37 @@ def find_links(points: DataFrame, radius: int, most: int, shard: int = SHARD, sa
                 )
 
     dealt = points.select("tree", "code", "id", "sig").mapInArrow(deal, "shard long, code long, id long, sig binary, home boolean")
-    over = dealt.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > shard_most)
-    over = over.withColumn("blocks", F.ceil(F.col("rows") / (shard_most // 2)).cast("int")).select("shard", "blocks")
-    cut = {r.shard: r.blocks for r in over.collect()}  # overfull shards only: rows / shard_most of them at most
+    counts = lambda rows: rows.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > shard_most).collect()
+    # Overfull shards only, of which there are rows / shard_most at most, and a depth for each.
+    depths = {r.shard: max(1, math.ceil(math.log2(2 * r.rows / shard_most))) for r in counts(dealt)}
+    cut: dict[int, int] = {}
+    if depths:
+        shared_depths = points.sparkSession.sparkContext.broadcast(depths)
+
+        def deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            depths = shared_depths.value
+            trees: dict[int, Tree] = {}
+            for batch in batches:
+                shard, code, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 4))
+                over = np.isin(shard, list(depths))
+                same = np.flatnonzero(~over)
+                takes, shards, homes = [same], [shard[same] << 20], [home[same].astype(bool)]
+                for s in np.unique(shard[over]).tolist():
+                    if s not in trees:
+                        trees[s] = inner_tree(s, min(depths[s], 18), radius)
+                    at = np.flatnonzero(shard == s)
+                    row, leaf, stays = route(trees[s], code[at].astype(np.uint64), home[at].astype(bool))
+                    takes.append(at[row])
+                    shards.append((s << 20) + 1 + leaf)
+                    homes.append(stays)
+                take = pa.array(np.concatenate(takes))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(shards), pa.int64()), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array(np.concatenate(homes))],
+                    ["shard", "code", "id", "sig", "home"],
+                )
+
+        dealt = dealt.mapInArrow(deal_again, dealt.schema)
+        cut = {r.shard: math.ceil(r.rows / (shard_most // 2)) for r in counts(dealt.where(F.shiftright("shard", 20).isin(list(depths)) if len(depths) < 1000 else F.lit(True)))}
     blocks = F.lit(1)
     if cut:
         table = points.sparkSession.createDataFrame(sorted(cut.items()), "shard long, blocks int")
@@ -306,28 +356,26 @@ def find_links(points: DataFrame, radius: int, most: int, shard: int = SHARD, sa
     return grouped.groupBy("shard", "i", "j").applyInPandas(link, "a long, b long")
 
 
-def contract(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component."""
+def contract(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component.
+
+    Each round is a large star and a small star, written, and the round before is deleted; rounds go on until a
+    round changes nothing, which they do after some log(nodes) squared.
+    """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e, "stars")
     mark = lambda t: tuple(t.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-    before = mark(e)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    before, now = None, mark(e)
+    while now != before and now[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialize(large, "large-stars")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
-        now = mark(e)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        new = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        discard(e, large)
+        e, before, now = new, now, mark(new)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -433,15 +481,18 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id: components of fingerprints within ``radius`` (up to 3) bits."""
     prints = materialize(fingerprints(docs, doc_id, text, size), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "classes")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "classes")
     half = F.explode(F.array(F.struct(F.lit(0).alias("tree"), F.expr("fp & 4294967295L").alias("code")), F.struct(F.lit(1).alias("tree"), F.expr("shiftrightunsigned(fp, 32)").alias("code"))))
     points = classes.select("fp", half.alias("h")).select("h.tree", "h.code", F.col("fp").alias("id"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("sig"))
     root_of = contract(find_links(points, radius // 2, radius))
-    rooted = classes.join(root_of, classes["fp"] == root_of["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(root_of, classes["fp"] == root_of["node"], "left").select("fp", "first_doc", "n", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = materialize(rooted.join(smallest, "root").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("n_prints"))
+    total = rooted.agg(F.count("*"), F.sum("n")).first()  # one row
+    named = join_counted(rooted, smallest, "root", total[0], "n_prints").select("fp", "n", "component_id")
+    named = materialize(named, "components")
+    discard(classes, rooted)
+    return join_counted(prints, named, "fp", total[1] or 0).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -457,34 +508,42 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, d
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text"))
     signed = materialize(map_text(keyed, ["doc_id", "text_key"], "text", "sig binary, codes array<long>", make), "signatures")
     one_doc = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).getField("doc_id")
-    distinct = signed.groupBy("text_key").agg(F.first("sig").alias("sig"), F.first("codes").alias("codes"))
+    per_text = signed.groupBy("text_key").agg(F.first("sig").alias("sig"), F.first("codes").alias("codes"), one_doc.alias("one_doc"), F.count("*").alias("n"))
+    distinct = materialize(per_text, "distinct-texts")
     points = distinct.select("text_key", "sig", F.posexplode("codes").alias("tree", "code")).where("code is not null")
     points = materialize(points.select("tree", "code", F.col("text_key").alias("id"), "sig"), "points")
     near = contract(find_links(points, 1, candidate_bits(similarity)))
     hubs = near.select(F.col("root").alias("id"), "root").distinct()
     members = near.select(F.col("node").alias("id"), "root").unionByName(hubs)
-    docs_of = signed.groupBy(F.col("text_key").alias("id")).agg(one_doc.alias("__doc"))
-    members = materialize(members.join(docs_of, "id"), "candidates")
-    first = F.row_number().over(Window.partitionBy("id").orderBy(F.lit(0)))
-    texts = keyed.join(members, (F.col("text_key") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("__doc"))).withColumn("__n", first).where("__n = 1")
+    members = materialize(members.join(distinct.select(F.col("text_key").alias("id"), "one_doc"), "id"), "candidates")
+    discard(points)
+    first = F.row_number().over(Window.partitionBy("id").orderBy("doc_id"))
+    texts = keyed.join(members, (F.col("text_key") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("one_doc"))).withColumn("n", first).where("n = 1")
 
     def shingles():
         return lambda texts: {"shingles": [np.unique(shingle_hashes(t, size)).tobytes() for t in texts]}
 
     held = materialize(map_text(texts, ["id", "root"], "text", "shingles binary", shingles), "shingles")
     root_of = contract(confirmed(held, similarity))
-    rows = signed.select("doc_id", "text_key")
-    return rows.join(root_of, rows["text_key"] == root_of["node"], "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("group_key"))
+    grouped = distinct.join(root_of, distinct["text_key"] == root_of["node"], "left").select("text_key", "n", F.coalesce("root", "text_key").alias("group_key"))
+    grouped = materialize(grouped, "grouped")
+    total = grouped.agg(F.sum("n")).first()[0] or 0  # one row
+    discard(members, held, distinct)
+    return join_counted(signed.select("doc_id", "text_key"), grouped, "text_key", total).select("doc_id", "text_key", "group_key")
 
 
 def drop_similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of similar documents: the smallest doc_id; columns pass through."""
+    """``docs`` with one row of each group of similar documents: the smallest doc_id (null ids come last); columns pass
+    through, whatever their names. Of rows with that doc_id and text, the first by all their other columns stays."""
     groups = materialize(similar_documents(docs, similarity, size, doc_id, text), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     kept = groups.groupBy("group_key").agg(F.min(order).alias("kept")).select("kept.doc_id", "kept.text_key")
-    kept = materialize(kept.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")), "kept")
-    keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    same = keyed[doc_id].eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__key"))
-    one = Window.partitionBy("__key", "__doc").orderBy(F.lit(0))
-    found = keyed.join(kept, same).withColumn("__n", F.row_number().over(one)).where("__n = 1")
+    of, key, row, text_key = apart(docs.columns, "kept_doc", "kept_key", "row_number", "text_key")
+    kept = materialize(kept.select(F.col("doc_id").alias(of), F.col("text_key").alias(key)), "kept")
+    discard(groups)
+    keyed = docs.withColumn(text_key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = F.col(doc_id).eqNullSafe(F.col(of)) & (F.col(text_key) == F.col(key))
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (doc_id, text)])) if len(docs.columns) > 2 else F.lit(0)
+    one = Window.partitionBy(key, of).orderBy(rest)
+    found = keyed.join(kept, same).withColumn(row, F.row_number().over(one)).where(F.col(row) == 1)
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
