@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -39,28 +40,56 @@ class WordSums(dict):
     Maps a word to its row in ``rows``, filled on demand; at most ``most`` words are remembered.
     """
 
+    #: Numbers that one step of a sparse product holds.
+    STEP = 1 << 22
+
     def __init__(self, table: np.ndarray, split: Callable[[str], list[int]], most: int = 200_000):
         super().__init__()
         self.table, self.split, self.most = table, split, most
         self.rows = np.zeros((1024, table.shape[1] + 1))
 
-    def __missing__(self, word: str) -> int:
-        ids = self.split(word)
-        k = len(self)
-        if k >= len(self.rows):
+    def learn(self, unseen: list[str]) -> None:
+        """Rows of new words: their n-grams (a sparse matrix of 0 and 1) times the table."""
+        per_step = max(1, self.STEP // (16 * self.table.shape[1]))
+        while len(self) + len(unseen) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k, :-1] = self.table[ids].sum(axis=0, dtype=np.float64)
-        self.rows[k, -1] = len(ids)
-        self[word] = k
-        return k
-
-    def of_text(self, text: str, distinct: bool = False) -> np.ndarray:
-        """Sums over all n-grams of a text (or of its distinct words), and their number at the end."""
+        for at in range(0, len(unseen), per_step):
+            part = unseen[at : at + per_step]
+            ids = [self.split(w) for w in part]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+            k = len(self)
+            self.rows[k : k + len(part), :-1] = np.add.reduceat(self.table[flat], np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)
+            self.rows[k : k + len(part), -1] = sizes
+            self.update(zip(part, range(k, k + len(part))))
+
+    def of_texts(self, texts: list[str], distinct: bool = False) -> np.ndarray:
+        """Sums over all n-grams of each text (or of its distinct words), and their number at the end.
+
+        The product of a sparse matrix, texts by words, with the words' rows, in steps of whole texts.
+        """
         if len(self) >= self.most:
             self.clear()
-        found = words(text)
-        at = list(map(self.__getitem__, sorted(set(found)) if distinct else found))
-        return self.rows[at].sum(axis=0) if at else np.zeros(self.rows.shape[1])
+        found = [sorted(set(words(t))) if distinct else words(t) for t in texts]
+        unseen = set().union(*found).difference(self)
+        if unseen:
+            self.learn(sorted(unseen))
+        out = np.zeros((len(texts), self.rows.shape[1]))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ends = np.cumsum(sizes)
+        per_step = max(1, self.STEP // self.rows.shape[1])
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + per_step, side="right")))
+            full = np.flatnonzero(sizes[at:to]) + at
+            if len(full):
+                row = np.fromiter(chain.from_iterable(map(self.__getitem__, f) for f in found[at:to]), np.int64, int(sizes[at:to].sum()))
+                if len(row) > per_step:  # one long text
+                    out[at] = sum(self.rows[row[k : k + per_step]].sum(axis=0) for k in range(0, len(row), per_step))
+                else:
+                    out[full] = np.add.reduceat(self.rows[row], np.cumsum(sizes[full]) - sizes[full], axis=0)
+            at = to
+        return out
 
 
 def gram_counts(text: str, split: Callable[[str], list[int]], distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:

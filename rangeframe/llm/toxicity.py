@@ -1,16 +1,18 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A document's vector is the mean of the embeddings of the hashed character n-grams and words of its distinct
-words, with PADDING zero vectors so that a few words weigh little; a softmax over two classes stands on it. Embeddings and output weights are trained together (Adagrad
-over minibatches, balanced classes), so a misspelling that no document of the sample held still has
-most of its n-grams' vectors; n-grams of fewer than SEEN documents of the sample are zero. For scoring, embeddings times weights collapse to one number for each
-n-gram, which keeps the broadcast at one fixed-size vector.
+words, with PADDING zero vectors so that a few words weigh little; a softmax over two classes stands on it.
+Embeddings and output weights are trained together (Adagrad over minibatches, balanced classes), so a misspelling
+that no document of the sample held still has most of its n-grams' vectors; n-grams of fewer than SEEN documents
+of the sample are zero. For scoring, embeddings times weights collapse to one number for each n-gram, which keeps
+the broadcast at one fixed-size vector.
 
 Cases: null and empty texts get the score of a document without words (the bias); labels without a
 document and documents without a label never train, nor do labels with a null; a null doc_id counts
 as empty text when folds are made and never matches a label; repeated labels of one document count
-once (the largest); without labelled rows of both classes every score is 0; texts are read whole at
-any length; an empty table gives an empty result; further columns are ignored.
+once (the largest), and equal rows (doc_id, text) train once; without labelled rows of both classes every score is
+under 1e-20; texts are read whole at any length; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeframe.llm.common import held_out, map_text, order_of
+from rangeframe.llm.common import discard, held_out, map_text, materialize, order_of
 from rangeframe.llm.subwords import WordSums, gram_counts, grams
 
 #: Bound on the labelled documents of each class that train the model.
@@ -103,13 +105,17 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """A model from at most ``most`` documents of each class, those that come first by a hash of their id.
 
-    ``docs`` has doc_id and text, ``labels`` has one row (doc_id, y) per document. Only ids are ordered and
-    broadcast (twice ``most`` at most); executors turn the sample's whole texts into bags of distinct
-    n-grams, and those come to the driver.
+    ``docs`` has doc_id and text, ``labels`` has one row (doc_id, y) per document. Only keys of documents that have a
+    label are ordered and broadcast (twice ``most`` at most); executors turn the sample's whole texts into bags of
+    distinct n-grams, and those come to the driver.
     """
-    classes = [labels.where(F.col("y") == k).orderBy(order_of("doc_id"), "doc_id").limit(most) for k in (0, 1)]
-    chosen = classes[0].unionByName(classes[1]).select("doc_id", F.col("y").cast("int").alias("y"))
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "y", order_of("doc_id").alias("o")).limit(2 * most)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    marks = labels.select("doc_id", F.col("y").cast("int").alias("y"))
+    known = rows.select("doc_id", "h").join(marks, "doc_id").distinct()
+    known = materialize(known, "labelled-keys")
+    classes = [known.where(F.col("y") == k).orderBy(order_of("doc_id"), "doc_id", "h").limit(most) for k in (0, 1)]
+    chosen = classes[0].unionByName(classes[1])
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("text", "y", order_of("doc_id").alias("o"))
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,6 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
 
     rows = sample.repartition(8).mapInArrow(bag, "y int, o long, bag binary").collect()  # at most 2 x ``most`` rows
     rows.sort(key=lambda r: (r.o, r.y, r.bag))
+    discard(known)
     labels = np.array([r.y for r in rows], np.int64)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros((BUCKETS, 1), np.float32), -50.0)
@@ -130,9 +137,9 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.sums = model, WordSums(model.table, split)
 
-    def score(self, text: str) -> float:
-        total, n = self.sums.of_text(text, distinct=True)
-        return float(1 / (1 + np.exp(-np.clip(self.model.bias + total / (n + PADDING), -500, 500))))
+    def score(self, texts: list[str]) -> np.ndarray:
+        sums = self.sums.of_texts(texts, distinct=True)
+        return 1 / (1 + np.exp(-np.clip(self.model.bias + sums[:, 0] / (sums[:, 1] + PADDING), -500, 500)))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
@@ -143,7 +150,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
         scorer = Scorer(Model(*shared.value))
 
         def work(texts: list[bytes]) -> dict:
-            s = np.array([scorer.score(t.decode("utf-8", "replace")) for t in texts])
+            s = scorer.score([t.decode("utf-8", "replace") for t in texts])
             return {"score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
         return work

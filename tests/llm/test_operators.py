@@ -70,10 +70,10 @@ def test_toxicity_learns_words_and_misspellings():
         bags.append(toxicity.gram_counts(" ".join(text), toxicity.split))
         labels.append(int(k % 3 == 0))
     scorer = toxicity.Scorer(toxicity.fit(bags, np.array(labels), epochs=15))
-    clean = [scorer.score(" ".join(rng.choices(words, k=60))) for _ in range(50)]
-    bad = [scorer.score(" ".join([*rng.choices(words, k=60), w])) for w in ("worthles", "disgustingg", "patheticc") * 10]
-    assert np.mean(np.array(bad) > np.median(clean)) > 0.9
-    assert all(0 <= s <= 1 for s in [*clean, *bad, scorer.score("")])
+    clean = scorer.score([" ".join(rng.choices(words, k=60)) for _ in range(50)])
+    bad = scorer.score([" ".join([*rng.choices(words, k=60), w]) for w in ("worthles", "disgustingg", "patheticc") * 10])
+    assert np.mean(bad > np.median(clean)) > 0.9
+    assert all(0 <= s <= 1 for s in [*clean, *bad, *scorer.score([""])])
 
 
 def test_toxicity_query(spark, docs, odd, empty):
@@ -335,7 +335,7 @@ def test_mixing_with_many_sources(spark, docs, monkeypatch):
 
 @pytest.mark.parametrize("rate", [0.01, 1.0, 30.0, 900.0])
 def test_poisson_steps(spark, rate):
-    steps = spark.createDataFrame([(rate,)], "rate double").select(mixing.poisson_steps("rate").alias("s")).first().s
+    steps = mixing.poisson_steps(spark.createDataFrame([("a", rate), (None, 2.0)], "source_key string, rate double")).where("source_key = 'a'").first().steps
     logs = np.array([k * math.log(rate) - rate - math.lgamma(k + 1) for k in range(len(steps))])
     assert np.allclose(steps, np.cumsum(np.exp(logs)), atol=1e-9) and steps[-1] == pytest.approx(1)
 
@@ -496,11 +496,18 @@ def test_drop_similar_odd(odd, empty):
 # Licenses
 
 
+def base_scan(text):
+    """Words and places by comparing word by word."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    found = [(k, label) for phrase, label in license_scan.BASE.items() for p in [phrase.split()] for k in range(len(words)) if words[k : k + len(p)] == p]
+    return len(words), sorted(found)
+
+
 def test_license_scan(docs, odd, empty):
     cases = [*texts(docs.collect()), *texts(odd.collect()), "CC BY all rights reserved, General Public License!", "cc-by cc by", "ccby", "cc  by"]
     scanner = license_scan.Scanner()
     for t in cases:
-        n, found = license_scan.base_scan(t)
+        n, found = base_scan(t)
         r = scanner.scan(t.encode())
         places = [k for k, _ in found]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (n, len(found), min(places, default=None), max(places, default=None))
@@ -522,6 +529,14 @@ def test_license_scan(docs, odd, empty):
         ("AND MIT", None, None),
         ("", None, None),
         ("MIT) ", None, None),
+        ("see the file", None, None),
+        ("MIT and this file is shared", "mit", True),
+        ("MIT AND (see LICENSE)", "mit", True),
+        ("MIT/Apache-2.0", "mit apache-2.0 or", True),
+        ("GPL-2.0+ OR LicenseRef-own-1", "gpl-2.0+ licenseref-own-1 or", False),
+        ("GPL-3.0-only WITH Classpath-exception-2.0 OR MIT x", "gpl-3.0-only classpath-exception-2.0 with mit or", True),
+        ("(MIT OR this) AND ISC", None, None),
+        ("NOASSERTION", None, None),
     ],
 )
 def test_expressions(text, postfix, permitted):
