@@ -7,8 +7,9 @@ parsed: ``with`` binds tighter than ``and``, ``and`` tighter than ``or``. The pa
 reverse Polish order, its identifiers, and whether a set of permitted licences satisfies it.
 
 Cases: null and empty texts have no words and no places (first and last are null, labels empty,
-score 0); overlapping places all count; malformed expressions give no identifiers; texts of any
-length are scanned whole; an empty table gives an empty result; further columns are ignored.
+score 0); overlapping places all count; malformed expressions and words that are no licence give no identifiers;
+texts of any length are scanned whole; equal rows give equal rows; null doc_ids pass through; an empty table gives an
+empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 from rangeframe.llm.common import map_text
@@ -50,8 +50,25 @@ TAG = "spdx license identifier"
 #: Licences that satisfy an expression by default.
 PERMITTED = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "cc0-1.0", "cc-by-4.0"})
 
+# Identifiers of common licences in the SPDX list, in lower case; an expression's operands are these,
+# these with a "+", and LicenseRef-... names. ``Scanner`` takes further ones.
+IDENTIFIERS = frozenset(
+    """0bsd afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0
+    artistic-2.0 beerware blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear
+    bsd-3-clause-lbnl bsd-4-clause bsl-1.0 busl-1.1 bzip2-1.0.6 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-3.0
+    cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nd-3.0 cc-by-nd-4.0 cc-by-sa-2.0 cc-by-sa-2.5 cc-by-sa-3.0
+    cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 cecill-b cecill-c cpl-1.0 curl ecl-2.0 epl-1.0 epl-2.0 etalab-2.0 eupl-1.1
+    eupl-1.2 ftl gfdl-1.1 gfdl-1.2 gfdl-1.3 gfdl-1.3-only gfdl-1.3-or-later gpl-1.0 gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0-only
+    gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later hpnd icu ijg ipl-1.0 isc json lgpl-2.0 lgpl-2.0-only lgpl-2.0-or-later
+    lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later libpng libpng-2.0 libtiff lppl-1.3c mit mit-0
+    mit-cmu mit-modern-variant mpl-1.0 mpl-1.1 mpl-2.0 ms-pl ms-rl mulanpsl-2.0 ncsa nist-pd nposl-3.0 odbl-1.0 odc-by-1.0 ofl-1.0
+    ofl-1.1 openssl osl-2.1 osl-3.0 php-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sgi-b-2.0 sleepycat sspl-1.0 tcl
+    unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 xfree86-1.1 zend-2.0 zlib zpl-2.0 zpl-2.1""".split()
+)
+
 _TAG_LINE = re.compile(r"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[ \t]*:?[ \t]*([^\n]*)")
-_TOKEN = re.compile(r"\(|\)|[0-9a-z][0-9a-z.+:-]*")
+_TOKEN = re.compile(r"\(|\)|/|[0-9a-z][0-9a-z.+:-]*")
+_REFERENCE = re.compile(r"(?:documentref-[0-9a-z.-]+:)?licenseref-[0-9a-z.-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 #: What words are made of, as a translation of UTF-8 bytes: A-Z to a-z, other bytes below 128 to a space.
@@ -60,24 +77,34 @@ _FOLD = bytes(
 )
 
 
-def to_postfix(expression: str) -> list[str] | None:
-    """Reverse Polish order of a licence expression (lower case); None if it is malformed."""
+def to_postfix(expression: str, identifiers: frozenset[str] = IDENTIFIERS) -> list[str] | None:
+    """Reverse Polish order of a licence expression (lower case); None if there is none or it is malformed.
+
+    The expression ends where what follows is no part of one: a word that is no licence, also behind an operator
+    ("MIT and this file": mit). A slash between two licences is an "or". After "with" any name is an exception.
+    """
     out: list[str] = []
     stack: list[str] = []
-    operand_next = True
+    whole: list[str] | None = None  # what was complete last, outside of parentheses
+    operand_next, exception_next = True, False
     for t in _TOKEN.findall(expression.lower()):
+        t = "or" if t == "/" else t
         if t in _BINDS:
             if operand_next:
-                return None
+                if whole is None:
+                    return None
+                break
             while stack and stack[-1] != "(" and _BINDS[stack[-1]] >= _BINDS[t]:
                 out.append(stack.pop())
             stack.append(t)
-            operand_next = True
-        elif t == "(":
-            if not operand_next:
-                return None
+            operand_next, exception_next = True, t == "with"
+            continue
+        if t == "(":
+            if not operand_next or exception_next:
+                break
             stack.append(t)
-        elif t == ")":
+            continue
+        if t == ")":
             if operand_next:
                 return None
             while stack and stack[-1] != "(":
@@ -85,18 +112,17 @@ def to_postfix(expression: str) -> list[str] | None:
             if not stack:
                 return None
             stack.pop()
-        elif operand_next:
+        elif operand_next and (exception_next or t in identifiers or t.removesuffix("+") in identifiers or _REFERENCE.fullmatch(t)):
             out.append(t)
-            operand_next = False
+            operand_next = exception_next = False
         else:
-            break  # text after a complete expression
-    if operand_next:
-        return None
-    while stack:
-        if stack[-1] == "(":
+            break
+        if "(" not in stack:
+            whole = out + stack[::-1]
+    else:
+        if operand_next or "(" in stack:
             return None
-        out.append(stack.pop())
-    return out
+    return whole
 
 
 @dataclass(frozen=True)
@@ -130,10 +156,10 @@ def evaluate(postfix: list[str], permitted: frozenset[str] = PERMITTED) -> Value
 class Scanner:
     """The automaton over phrases of whole words."""
 
-    def __init__(self, permitted: frozenset[str] = PERMITTED):
+    def __init__(self, permitted: frozenset[str] = PERMITTED, identifiers: frozenset[str] = IDENTIFIERS):
         import ahocorasick
 
-        self.permitted = permitted
+        self.permitted, self.identifiers = permitted, identifiers
         self.automaton = ahocorasick.Automaton()
         for phrase in {**NOTICES, **BASE, TAG: ""}:
             self.automaton.add_word(f" {phrase} ", (phrase, len(phrase) + 2))
@@ -159,7 +185,7 @@ class Scanner:
         allowed: list[bool] = []
         if tagged:
             for m in _TAG_LINE.finditer(text.lower().decode("latin-1")):
-                value = evaluate(p, self.permitted) if (p := to_postfix(m[1])) else None
+                value = evaluate(p, self.permitted) if (p := to_postfix(m[1], self.identifiers)) else None
                 if value:
                     expressions.append(" ".join(p))
                     allowed.append(value.permitted)
@@ -185,11 +211,13 @@ FIELDS = (
 )
 
 
-def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", permitted: frozenset[str] = PERMITTED) -> DataFrame:
+def license_scan(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", permitted: frozenset[str] = PERMITTED, identifiers: frozenset[str] = IDENTIFIERS
+) -> DataFrame:
     """One row per document: places of base phrases, labels, parsed expressions and a score from 0 to 1."""
 
     def make():
-        scanner = Scanner(permitted)
+        scanner = Scanner(permitted, identifiers)
 
         def work(texts: list[bytes]) -> dict:
             rows = [scanner.scan(t) for t in texts]
@@ -200,11 +228,4 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     return map_text(docs, [doc_id], text, FIELDS, make)
 
 
-def base_scan(text: str) -> tuple[int, list[tuple[int, str]]]:
-    """For tests: words and places by comparing word by word."""
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
-    found = [(k, label) for phrase, label in BASE.items() for p in [phrase.split()] for k in range(len(words)) if words[k : k + len(p)] == p]
-    return len(words), sorted(found)
-
-
-__all__ = ["BASE", "Scanner", "base_scan", "evaluate", "license_scan", "np", "to_postfix"]
+__all__ = ["BASE", "IDENTIFIERS", "Scanner", "evaluate", "license_scan", "to_postfix"]
