@@ -9,8 +9,10 @@ is (r <= rank of its parent; at the same rank the leftmost merge comes first). A
 tested with numpy, each distinct pair once in a worker. Words with a failing pair are merged exactly.
 
 Cases: null texts are empty texts (no tokens); texts of any length are encoded whole; strings of
-special tokens inside a text become that token, as in the library's default; an empty table gives an
-empty result. Ids decode to the bytes that they came from.
+special tokens inside a text become that token, as in the library's default; null doc_ids pass through and equal rows
+give equal rows; further columns are ignored, or pass through if they are kept, unless named like an added one; an
+empty table gives an empty result. Ids decode to the bytes that they came from. A vocabulary of another kind
+(normalizer, other pre-tokenizer, merges that yield to whole words) raises ValueError.
 """
 
 from __future__ import annotations
@@ -20,20 +22,24 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rangeframe.llm.common import map_text
-from rangeframe.llm.token_counts import pieces
+from rangeframe.llm.common import apart, map_text
+from rangeframe.llm.token_counts import pieces, splits_at_spaces
 
 # The pre-token pattern of byte-level BPE, as the vocabulary's documentation states it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces a worker remembers, and the longest that is worth it.
 REMEMBERED, REMEMBERED_WORDS, LONGEST_REMEMBERED = 200_000, 400_000, 64
+#: Token pairs whose compatibility a worker remembers.
+REMEMBERED_PAIRS = 500_000
 #: Words of at most so many bytes are merged by scanning, longer ones with a heap.
 SCANNED = 48
 NEVER = np.int64(1) << 40
@@ -93,6 +99,8 @@ class Vocabulary:
     def from_json(cls, path: str) -> Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not splits_at_spaces(spec):
+            raise ValueError(f"{path} is no plain byte-level BPE vocabulary")
         byte = {c: b for b, c in enumerate(byte_letters())}
         raw = lambda s: bytes(map(byte.__getitem__, s))
         special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
@@ -193,6 +201,8 @@ class Vocabulary:
             inside = np.ones(len(flat) - 1, bool)
             inside[(ends[(ends > 0) & (ends < len(flat))] - 1)] = False
             distinct, where = np.unique(key[inside], return_inverse=True)
+            if len(self.fits) > REMEMBERED_PAIRS:
+                self.fits.clear()
             new = np.array([k for k in distinct.tolist() if k not in self.fits], np.int64)
             if len(new):
                 self.fits.update(zip(new.tolist(), (~self.crossed(new // self.size, new % self.size)).tolist()))
@@ -306,12 +316,7 @@ def bpe_encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "
 
 def bpe_decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "token_ids") -> DataFrame:
     """``keep`` columns with the decoded text of an id column (null ids: empty text)."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-    from pyspark.sql import functions as F
-
-    source = encoded.select(*keep, F.col(ids).alias("__ids"))
+    source = encoded.select(*[F.col(f"`{k}`") for k in keep], F.col(ids).alias(apart(keep, "__ids")[0]))
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema] + ["text string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,8 @@ Shots: each decoded frame's histogram is compared with the frame's before; a cut
 over a floor and over the mean plus ``K`` deviations of the differences around it.
 
 Cases: null and empty payloads become 64 zero bytes; payloads of any length and content are stored whole;
-equal payloads give equal files; malformed files raise ValueError; an empty table gives an empty result.
+equal payloads give equal files, so repeated rows give equal rows; null doc_ids pass through; malformed files raise
+ValueError; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,12 +6,17 @@ no rule of the pre-tokenizer looks back across it, so lengths of the pieces add
 whole text. Pieces that a worker has seen before are looked up; the rest go to the library in
 batches that hold about equal bytes.
 
+That holds for byte-level BPE vocabularies, which is read from the file; with any other tokenizer (a normalizer,
+another pre-tokenizer, a sentencepiece model) texts go to the library whole.
+
 Cases: null and empty texts count 0 tokens; texts of any length are encoded whole; strings of special
-tokens inside a text are handled as the library does by default; an empty table gives an empty result.
+tokens inside a text are handled as the library does by default; null doc_ids pass through and equal rows give equal
+rows; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
@@ -42,6 +47,15 @@ def pieces(text: str) -> tuple[str, list[str]]:
     return first, [p[1:] for p in rest]
 
 
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer's file describes byte-level BPE for which ``pieces`` are encoded on their own."""
+    model, before = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not (model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+    byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    added = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec.get("added_tokens") or [])
+    return plain and byte_level and added and spec.get("normalizer") is None
+
+
 class _Counts(dict):
     """Token counts by piece (with its leading space)."""
 
@@ -63,7 +77,12 @@ class _Counts(dict):
 
 
 def counter(path: str) -> Callable[[list[str]], np.ndarray]:
-    """A function from texts to token counts, by the tokenizer file at ``path``."""
+    """A function from texts to token counts, by the tokenizer file at ``path`` (.json, or .model of sentencepiece)."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        pieces_of = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: np.fromiter((len(pieces_of.encode(t)) for t in texts), np.int64, len(texts))
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -74,6 +93,9 @@ def counter(path: str) -> Callable[[list[str]], np.ndarray]:
     def encode(batch: list[str]) -> list[int]:
         return [len(e) for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
+    with open(path, encoding="utf-8") as f:
+        if not splits_at_spaces(json.load(f)):
+            return lambda texts: np.fromiter((encode([t])[0] for t in texts), np.int64, len(texts))
     counts = _Counts(encode)
 
     def count(texts: list[str]) -> np.ndarray:
