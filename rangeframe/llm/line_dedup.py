@@ -12,9 +12,10 @@
 
 Texts never travel with the hashes; the operator's result is bitmaps. ``apply_keep`` joins them with texts.
 
-Cases: a null or empty text is one empty line; a null doc_id is the smallest document; rows that share
-doc_id are one document for the counts, each row having its own bitmap, and equal rows equal bitmaps;
-texts of any length and number of lines are read whole; an empty table gives an empty result.
+Cases: a null or empty text is one empty line; a null doc_id is the smallest document (``dedup_lines`` leaves a null
+text null); doc_ids of any type that has an order will do; rows that share a doc_id are one document for the counts,
+each row having its own bitmap, and equal rows equal bitmaps; texts of any length and number of lines are read
+whole; an empty table gives an empty result; further columns are ignored, or pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from rangeframe.llm.common import materialize
+from rangeframe.llm.common import apart, discard, materialize
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Summaries (24 bytes each) up to which they are broadcast; the salt beyond that.
@@ -43,10 +46,16 @@ def line_key(line: Column) -> Column:
     return F.translate(F.trim(line, F.lit(SPACE)), UPPER, LOWER)
 
 
+def document(docs: DataFrame, doc_id: str) -> Column:
+    """The document of a row: integers as longs with the smallest one for null; other ids as they are, null first."""
+    integral = isinstance(docs.select(F.col(doc_id)).schema[0].dataType, T.IntegralType)
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(SMALLEST)) if integral else F.col(doc_id)
+
+
 def identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc (null: smallest), row_hash (tells rows apart that share a doc_id) and body."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(SMALLEST)).alias("doc"), F.xxhash64(body).alias("row_hash"), body.alias("body"))
+    return docs.select(document(docs, doc_id).alias("doc"), F.xxhash64(body).alias("row_hash"), body.alias("body"))
 
 
 def line_rows(rows: DataFrame, min_chars: int) -> DataFrame:
@@ -56,28 +65,33 @@ def line_rows(rows: DataFrame, min_chars: int) -> DataFrame:
     return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc", "row_hash", "pos")
 
 
-def _stream(min_docs: int):
-    kinds = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("row_hash", pa.int64()), ("pos", pa.int32()), ("n_docs", pa.int64()), ("last_doc", pa.int64())])
+def _stream(min_docs: int, doc_type: T.DataType):
+    ids = to_arrow_type(doc_type)
+    kinds = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", ids), ("row_hash", pa.int64()), ("pos", pa.int32()), ("n_docs", pa.int64()), ("last_doc", ids)])
 
-    def emit(kind: int, cols: list[np.ndarray], n_docs: np.ndarray | int = 0, last: np.ndarray | int = 0) -> pa.RecordBatch:
+    def emit(kind: int, cols: list[np.ndarray], n_docs: int = 0, last=None) -> pa.RecordBatch:
         n = len(cols[0])
-        full = lambda v, t: np.broadcast_to(np.asarray(v, t), n)
-        arrays = [full(kind, np.int32), *cols[:4], cols[4].astype(np.int32), full(n_docs, np.int64), full(last, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(a, type=f.type) for a, f in zip(arrays, kinds)], schema=kinds)
+        full = lambda v, t: np.full(n, v, t)
+        arrays = [full(kind, np.int32), *cols[:4], cols[4].astype(np.int32), full(n_docs, np.int64), [last] * n if kind == 1 else pa.nulls(n, ids)]
+        return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, type=f.type) for a, f in zip(arrays, kinds)], schema=kinds)
 
-    def summary(cols: list[np.ndarray], docs: int, last: int) -> pa.RecordBatch:
+    def summary(h1: int, h2: int, docs: int, last) -> pa.RecordBatch:
         zero = np.zeros(1, np.int64)
-        return emit(1, [cols[0][:1], cols[1][:1], zero, zero, zero], docs, last)
+        return emit(1, [np.array([h1]), np.array([h2]), pa.nulls(1, ids), zero, zero], docs, last)
+
+    def column(batch: pa.RecordBatch, k: int) -> np.ndarray:
+        values = batch.column(k).to_numpy(zero_copy_only=False)
+        return values if values.dtype == object or values.dtype.kind not in "iu" else values.astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: to drop; 1: summary of an open run; 2: row of an open run. A run that spans batches of
         the task is carried as counts; its rows go out undecided, like those at the task's ends."""
         carry: tuple[int, int] | None = None  # hash of the run that is open at the end of what was read
-        docs_of, last_of, seen = 0, 0, 0
+        docs_of, last_of, seen = 0, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+            cols = [column(batch, k) for k in range(5)]
             h1, h2, doc = cols[0], cols[1], cols[2]
             new_run = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
             starts = np.flatnonzero(new_run)
@@ -89,15 +103,15 @@ def _stream(min_docs: int):
             # The run that is open from before.
             if carry == (int(h1[0]), int(h2[0])):
                 more = int(n_docs[0]) - int(doc[0] == seen)
-                docs_of, seen = docs_of + more, int(doc[ends[0] - 1])
+                docs_of, seen = docs_of + more, doc[ends[0] - 1]
                 yield emit(2, cut(first_run))
             else:
                 if carry is not None:
-                    yield summary([np.array([carry[0]]), np.array([carry[1]])], docs_of, last_of)
-                carry, docs_of, last_of, seen = (int(h1[0]), int(h2[0])), int(n_docs[0]), int(doc[0]), int(doc[ends[0] - 1])
+                    yield summary(*carry, docs_of, last_of)
+                carry, docs_of, last_of, seen = (int(h1[0]), int(h2[0])), int(n_docs[0]), doc[0], doc[ends[0] - 1]
                 yield emit(2, cut(first_run))
             if len(starts) > 1:
-                yield summary([h1, h2], docs_of, last_of)
+                yield summary(*carry, docs_of, last_of)
                 inner = np.repeat(n_docs[1:-1] >= min_docs, (ends - starts)[1:-1])
                 largest = np.repeat(doc[starts[1:-1]], (ends - starts)[1:-1])
                 middle = slice(ends[0], starts[-1])
@@ -106,21 +120,22 @@ def _stream(min_docs: int):
                     yield emit(0, cut(drop))
                 yield emit(2, cut(last_run))
                 k = starts[-1]
-                carry, docs_of, last_of, seen = (int(h1[k]), int(h2[k])), int(n_docs[-1]), int(doc[k]), int(doc[-1])
+                carry, docs_of, last_of, seen = (int(h1[k]), int(h2[k])), int(n_docs[-1]), doc[k], doc[-1]
         if carry is not None:
-            yield summary([np.array([carry[0]]), np.array([carry[1]])], docs_of, last_of)
+            yield summary(*carry, docs_of, last_of)
 
-    return run, "kind int, h1 long, h2 long, doc long, row_hash long, pos int, n_docs long, last_doc long"
+    kind = doc_type.simpleString()
+    return run, f"kind int, h1 long, h2 long, doc {kind}, row_hash long, pos int, n_docs long, last_doc {kind}"
 
 
 def drops(rows: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc, row_hash, pos of every line that its document loses."""
     # Written once: range partitioning reads its input twice, and these rows are small next to the texts.
     lines = materialize(line_rows(rows, min_chars), "line-keys")
-    down = F.col("doc").desc()
+    down = F.col("doc").desc_nulls_last()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = lines.repartitionByRange(parts, "h1", "h2", down).sortWithinPartitions("h1", "h2", down, "pos")
-    run, schema = _stream(min_docs)
+    run, schema = _stream(min_docs, rows.schema["doc"].dataType)
     streamed = materialize(ordered.mapInArrow(run, schema), "line-runs")
     totals = streamed.where("kind = 1").groupBy("h1", "h2").agg(F.sum("n_docs").alias("n"), F.max("last_doc").alias("largest"))
     totals = materialize(totals.where(F.col("n") >= min_docs).select("h1", "h2", "largest"), "line-totals")
@@ -131,7 +146,8 @@ def drops(rows: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS)
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
         salted = undecided.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
         late = salted.join(totals.select("*", salts), ["h1", "h2", "salt"])
-    late = late.where(F.col("doc") != F.col("largest")).select("doc", "row_hash", "pos")
+    late = late.where(~F.col("doc").eqNullSafe(F.col("largest"))).select("doc", "row_hash", "pos")
+    discard(lines)
     return streamed.where("kind = 0").select("doc", "row_hash", "pos").unionByName(late)
 
 
@@ -161,7 +177,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
             maps = [pack(x, n) for x, n in zip(lists, sizes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary())], ["doc", "row_hash", "covered", "keep_bitmap"])
 
-    return lost.mapInArrow(run, "doc long, row_hash long, covered int, keep_bitmap binary")
+    return lost.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, row_hash long, covered int, keep_bitmap binary")
 
 
 def kept_lines(text: str, bitmap: bytes | None, covered: int | None) -> tuple[str, int, int]:
@@ -175,19 +191,19 @@ def kept_lines(text: str, bitmap: bytes | None, covered: int | None) -> tuple[st
 
 
 def apply_keep(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with bitmaps joined: __bitmap and __covered, null where all lines stay."""
-    found = bitmaps.select(F.col("doc").alias("__doc"), F.col("row_hash").alias("__row"), F.col("keep_bitmap").alias("__bitmap"), F.col("covered").alias("__covered"))
-    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(SMALLEST))
-    row = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    keyed = docs.withColumn("__d", doc).withColumn("__r", row)
-    joined = keyed.join(found, (F.col("__d") == F.col("__doc")) & (F.col("__r") == F.col("__row")), "left")
-    return joined.drop("__d", "__r", "__doc", "__row")
+    """All columns of ``docs`` and, last, a document's bitmap and the lines it covers; null where all lines stay. The two
+    are named keep_bitmap and covered, with underscores before them where ``docs`` has such columns."""
+    bitmap, covered, d, r, of, row = apart(docs.columns, "keep_bitmap", "covered", "doc_key", "row_key", "of_doc", "of_row")
+    found = bitmaps.select(F.col("doc").alias(of), F.col("row_hash").alias(row), F.col("keep_bitmap").alias(bitmap), F.col("covered").alias(covered))
+    keyed = docs.withColumns({d: document(docs, doc_id), r: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    joined = keyed.join(found, F.col(d).eqNullSafe(F.col(of)) & (F.col(r) == F.col(row)), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in (*docs.columns, bitmap, covered)])
 
 
 def line_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each row."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    joined = apply_keep(rows, line_dedup(rows, "doc_id", "text", min_chars, min_docs)).select("doc_id", "text", "__bitmap", "__covered")
+    joined = apply_keep(rows, line_dedup(rows, "doc_id", "text", min_chars, min_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
