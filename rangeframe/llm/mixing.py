@@ -7,7 +7,7 @@ Documents are exploded by their counts and dealt by a hash of (seed, id, copy),
 group of copies can skew; within a task they are sorted by that hash, so the result is a random order.
 
 Source statistics are counted over all rows with a map-side combine. Rates go back to documents in a
-broadcast join only if their number is within MAX_SOURCES, which is checked; beyond it the documents are
+broadcast join only if they are within MAX_SOURCES and MAX_STEPS, which is checked; beyond it the documents are
 salted, so that one source never meets in one task.
 
 Cases: a null source is a source of its own; a null doc_id draws by the empty text, and rows with one
@@ -18,21 +18,21 @@ named like the added ones are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangeframe.llm.common import unit_hash
+from rangeframe.llm.common import apart, materialize, unit_hash
 
-#: Sources whose rates are broadcast; the salt beyond that.
-MAX_SOURCES, SALTS = 10_000, 64
+#: Sources whose rates are broadcast, and steps of their distribution functions (8 bytes each); the salt beyond that.
+MAX_SOURCES, MAX_STEPS, SALTS = 10_000, 4_000_000, 64
 #: Without weights, a source's target share follows its rows to this power.
 POWER = 0.5
 ADDED = ["rate", "n_copies", "copy", "mix_key"]
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", total: int | None = None) -> DataFrame:
-    """source_key, n_rows, rate: the mean number of copies of a document by source."""
-    counts = docs.groupBy(F.col(source).alias("source_key")).agg(F.count(F.lit(1)).alias("n_rows"))
+    """source_key, n_rows, rate: the mean number of copies of a document by source. The documents are read once."""
+    counts = materialize(docs.groupBy(F.col(source).alias("source_key")).agg(F.count(F.lit(1)).alias("n_rows")), "source-counts")
     if weights is None:
         weighted = counts.withColumn("weight", F.pow(F.col("n_rows").cast("double"), F.lit(POWER)))
     else:
@@ -46,18 +46,16 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
     return weighted.select("source_key", "n_rows", rate.alias("rate"))
 
 
-def poisson_steps(rate: str) -> F.Column:
-    """Values of the Poisson distribution function at 0, 1, 2, ... up to where it is 1 in double precision."""
-    last = f"cast(ceil({rate} + 12 * sqrt({rate}) + 24) as int)"
-    return F.expr(
-        f"""aggregate(sequence(1, {last}),
-            named_struct('p', exp(-{rate}), 'log', -{rate}, 'steps', array(exp(-{rate}))),
-            (s, k) -> named_struct(
-                'p', s.p + exp(s.log + ln({rate}) - ln(k)),
-                'log', s.log + ln({rate}) - ln(k),
-                'steps', array_append(s.steps, s.p + exp(s.log + ln({rate}) - ln(k)))),
-            s -> s.steps)"""
-    )
+def poisson_steps(found: DataFrame) -> DataFrame:
+    """``found`` (source_key, rate) with ``steps``: values of the Poisson distribution function at 0, 1, 2, ... up to where
+    it is 1 in double precision. Running sums over a row for each step: linear in the rate."""
+    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 24).cast("int")
+    rows = found.select("source_key", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    upto = Window.partitionBy("source_key").orderBy("k")
+    logs = F.sum(F.when(F.col("k") > 0, F.log(F.col("rate")) - F.log(F.col("k").cast("double"))).otherwise(-F.col("rate"))).over(upto)
+    summed = rows.withColumn("log", logs).withColumn("step", F.sum(F.exp("log")).over(upto))
+    steps = summed.groupBy("source_key", "rate").agg(F.sort_array(F.collect_list(F.struct("k", "step"))).alias("s"))
+    return steps.select("source_key", "rate", F.col("s.step").alias("steps"))
 
 
 def mix(
@@ -69,20 +67,22 @@ def mix(
     source: str = "source",
 ) -> DataFrame:
     """All columns of ``docs`` with rate, n_copies, copy (from 0) and mix_key, in a random global order."""
-    docs = docs.drop(*[c for c in docs.columns if c in ADDED])
-    found = rates(docs, weights, source, total).where("rate > 0").withColumn("steps", poisson_steps("rate"))
-    found = found.select(F.col("source_key").alias("__source"), F.col("rate"), F.col("steps").alias("__steps"))
-    key = F.col(source).eqNullSafe(F.col("__source"))
-    if found.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES:
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+    of, steps, drawn, salt, salted_as = apart([*docs.columns, *ADDED], "of_source", "steps", "u", "salt", "of_salt")
+    found = materialize(poisson_steps(rates(docs, weights, source, total).where("rate > 0")), "source-rates")
+    sizes = found.agg(F.count("*"), F.sum(F.size("steps"))).first()  # one row
+    found = found.select(F.col("source_key").alias(of), "rate", F.col("steps").alias(steps))
+    key = F.col(source).eqNullSafe(F.col(of))
+    if sizes[0] <= MAX_SOURCES and (sizes[1] or 0) <= MAX_STEPS:
         rated = docs.join(F.broadcast(found), key)
     else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
-        salted = docs.withColumn("__of", F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(seed)), F.lit(SALTS)).cast("int"))
-        rated = salted.join(found.select("*", salts), key & (F.col("__of") == F.col("__salt"))).drop("__of", "__salt")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt)
+        salted = docs.withColumn(salted_as, F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(seed)), F.lit(SALTS)).cast("int"))
+        rated = salted.join(found.select("*", salts), key & (F.col(salted_as) == F.col(salt))).drop(salted_as, salt)
     u = (unit_hash(F.lit(seed), F.lit("count"), F.col(doc_id)) + 0.5) / float(1 << 52)
-    rated = rated.withColumn("__u", u).withColumn("n_copies", F.expr("size(filter(__steps, s -> s < __u))"))
+    rated = rated.withColumn(drawn, u).withColumn("n_copies", F.expr(f"size(filter({steps}, s -> s < {drawn}))"))
     copies = rated.where("n_copies > 0").withColumn("copy", F.explode(F.expr("sequence(0, n_copies - 1)")))
     mix_key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
-    dealt = copies.drop("__source", "__steps", "__u").withColumn("mix_key", mix_key)
+    dealt = copies.drop(of, steps, drawn).withColumn("mix_key", mix_key)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "mix_key").sortWithinPartitions("mix_key")
