@@ -12,7 +12,7 @@
    the index: one row (hash, SHA-256, keep_id, group_size, chain) for each distinct text.
 4. *Lookup*: rows go through the directory to their bucket and find their entry by hash and SHA-256.
 
-Hot groups: a hash of more than ``hot`` rows (at most HOT_HASHES hashes can have so many) is combined before it goes
+Hot groups: a hash of very many rows or bytes (of which there can be HOT_HASHES at most) is combined before it goes
 to its owner, in SALTS parts, and rows find its entry by a broadcast, so neither owners nor lookups see the group.
 
 Cases: a null text is the empty text; rows with a null doc_id are grouped like any other and never beat a non-null
@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from rangeframe.llm.common import discard, materialize
 
 #: Distinct hashes that a bucket holds before it is split; a larger table has larger buckets, at most MOST_BUCKETS or so.
-CAPACITY, MOST_BUCKETS = 8192, 1 << 16
+CAPACITY, MOST_BUCKETS = 8192, 1 << 18
 #: Depth at which the directory starts, and pointers (16 bytes each) up to which it is broadcast.
-START_DEPTH, BROADCAST_CELLS = 2, 1 << 20
-#: Hashes that may count as hot, rows that they have at least, and parts in which a hot group is combined.
-HOT_HASHES, HOT_ROWS, SALTS = 10_000, 1000, 16
+START_DEPTH, BROADCAST_CELLS = 2, 1 << 21
+#: Hashes that may count as hot, rows or bytes of repeated text that they have at least, and parts in which a hot
+#: group is combined.
+HOT_HASHES, HOT_ROWS, HOT_BYTES, SALTS = 10_000, 1000, 8 << 20, 16
 #: Bytes of text that an owner gets.
 OWNED = 64 << 20
 
@@ -122,10 +123,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
     rows = keyed(docs, doc_id, text)
     sha = F.unhex(F.sha2(F.col("body").cast("binary"), 256))
     narrow = materialize(rows.select("doc_id", "h", sha.alias("sha"), F.octet_length("body").alias("size")), "exthash-rows")
-    counts = narrow.groupBy("h").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    most = max(hot_rows, narrow.count() // HOT_HASHES)  # so at most HOT_HASHES hashes have more rows
-    weight = (F.col("size") + 32) * F.least(F.col("n"), F.lit(most))
-    hashes = materialize(counts.select("h", weight.alias("weight"), (F.col("n") > most).alias("hot")), "exthash-hashes")
+    counts = narrow.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("size") + 32).alias("bytes"), F.max("size").alias("size"))
+    n, total = narrow.agg(F.count("*"), F.coalesce(F.sum(F.col("size") + 32), F.lit(0))).first()
+    most, heavy = max(hot_rows, 2 * n // HOT_HASHES), max(HOT_BYTES, 2 * total // HOT_HASHES)  # at most half of HOT_HASHES exceed either
+    hot = (F.col("n") > most) | ((F.col("n") > 1) & (F.col("bytes") > heavy))
+    weight = F.when(hot, (F.col("size") + 32) * F.least(F.col("n"), F.lit(SALTS))).otherwise(F.col("bytes"))
+    hashes = materialize(counts.select("h", weight.alias("weight"), hot.alias("hot")), "exthash-hashes")
     hot = hashes.where("hot").select("h")
     pointers, depth = directory(hashes, capacity or max(CAPACITY, hashes.count() // MOST_BUCKETS))
     index = build_index(rows, hashes, hot, pointers, depth)
