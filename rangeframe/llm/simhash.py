@@ -368,12 +368,15 @@ def contract(edges: DataFrame) -> DataFrame:
     before, now = None, mark(e)
     while now != before and now[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n")), "least")
+        # A hub of very many edges is looked up where its edges lie.
+        large = join_counted(both, least, "a", 2 * now[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialize(large, "large-stars")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        discard(least)
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        small = join_counted(large, least, "a", now[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        discard(least)
         discard(e, large)
         e, before, now = new, now, mark(new)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
