@@ -17,6 +17,7 @@ empty table gives an empty result. Ids decode to the bytes that they came from.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import heapq
 import json
@@ -272,14 +273,17 @@ class Encoder:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_VOCABULARIES: dict[str, Vocabulary] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file; workers are reused between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(Vocabulary.from_json(path))
-    return _ENCODERS[path]
+    """An encoder that remembers nothing yet. The vocabulary is read once in a worker process, which is reused between
+    tasks; what an encoder remembers (pieces, words, pairs) is its own and goes with its task."""
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary.from_json(path)
+    own = copy.copy(_VOCABULARIES[path])
+    own.fits = {}
+    return Encoder(own)
 
 
 def bpe_encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:

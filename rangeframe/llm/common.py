@@ -6,6 +6,7 @@ written to the folder that the session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,6 +58,23 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table that the JVM reads itself: createDataFrame of a list sends them through Python
+    workers of their own kind, which stay on every executor for a minute beside those of the operators."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields))
+
+
+def release() -> None:
+    """Give memory that nothing uses back to the system: workers are reused, and allocators keep what they freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def apart(names: list[str], *wanted: str) -> list[str]:
     """For each wanted working name, one that no column of ``names`` has (whatever its case)."""
     taken = {n.lower() for n in names}
@@ -107,14 +125,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def utf8_batches(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts of an Arrow string column as UTF-8 bytes (null: empty), cut into runs of BATCH_BYTES."""
+def utf8_batches(column: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of an Arrow string column as UTF-8 bytes (null: empty), cut into runs of ``most`` bytes."""
     values = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
     run: list[bytes] = []
     start, size = 0, 0
     for k, value in enumerate(values):
         b = value.as_py() or b""
-        if run and size + len(b) > BATCH_BYTES:
+        if run and size + len(b) > most:
             yield start, run
             run, start, size = [], k, 0
         run.append(b)
@@ -129,11 +147,13 @@ def map_text(
     text: str,
     schema: str,
     make: Callable[[], Callable[[list[bytes]], dict[str, list | np.ndarray]]],
+    most: int = BATCH_BYTES,
 ) -> DataFrame:
     """Apply ``make()(texts as bytes) -> columns`` batch by batch; ``keep`` columns pass through.
 
-    ``make`` is called once per task and may load models; batches are cut at BATCH_BYTES so that
-    one run of very long texts doesn't grow a worker.
+    ``make`` is called once per task and may load models; batches are cut at ``most`` bytes so that
+    one run of very long texts doesn't grow a worker. What a task remembered goes with it, before the next task of
+    whatever operator runs in its worker.
     """
     quoted = [F.col(f"`{k}`") for k in keep]
     source = df.select(*quoted, F.col(f"`{text}`").alias(apart(keep, "__text")[0]))
@@ -142,11 +162,11 @@ def map_text(
     full = ", ".join([*fields, schema])
     target = to_arrow_schema(StructType.fromDDL(full))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            for start, run_of in utf8_batches(texts):
+            for start, run_of in utf8_batches(texts, most):
                 made = work(run_of)
                 kept = [batch.column(k).slice(start, len(run_of)) for k in range(len(keep))]
                 arrays = kept + [made[f.name] for f in list(target)[len(keep):]]
@@ -154,5 +174,13 @@ def map_text(
                     [a.cast(f.type) if isinstance(a, pa.Array) else pa.array(a, type=f.type) for a, f in zip(arrays, target)],
                     schema=target,
                 )
+                del made, kept, arrays
+            del batch, texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            release()
 
     return source.mapInArrow(run, full)

@@ -32,6 +32,9 @@ TRAIN_DOCS = 8000
 BUCKETS, LEAST, MOST, CELLS = 1 << 15, 1, 3, 1 << 25
 #: Scores are of a text's mean n-gram, repeated this often at most: long texts aren't all certain.
 EVIDENCE = 60.0
+#: Bytes of text that are scored at once, and numbers that a step of the product holds: a few languages make wide steps
+#: of words and n-grams, whose Python objects are many times their numbers.
+RUN_BYTES, STEP = 1 << 19, 1 << 20
 
 
 def splitter(buckets: int):
@@ -90,7 +93,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.sums = model, WordSums(model.table, splitter(len(model.table)))
+        self.model, self.sums = model, WordSums(model.table, splitter(len(model.table)), step=STEP)
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """The language of the largest posterior and its tempered probability, for each text."""
@@ -121,7 +124,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
 
         return work
 
-    return map_text(docs, keep, text, f"{pred} string, {score} double", make)
+    return map_text(docs, keep, text, f"{pred} string, {score} double", make, RUN_BYTES)
 
 
 def language_id(docs: DataFrame, folds: int = 4, fold: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangeframe.llm.common import apart, discard, join_counted, map_text, materialize
+from rangeframe.llm.common import apart, discard, join_counted, local_table, map_text, materialize
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
 #: Codes of a tree that shape it, codes that a shard is meant to hold, and rows beyond which it is cut.
@@ -339,7 +339,7 @@ def find_links(points: DataFrame, radius: int, most: int, shard: int = SHARD, sa
         cut = {r.shard: math.ceil(r.rows / (shard_most // 2)) for r in counts(dealt.where(F.shiftright("shard", 20).isin(list(depths)) if len(depths) < 1000 else F.lit(True)))}
     blocks = F.lit(1)
     if cut:
-        table = points.sparkSession.createDataFrame(sorted(cut.items()), "shard long, blocks int")
+        table = local_table(points.sparkSession, sorted(cut.items()), "shard long, blocks int")
         dealt = dealt.join(F.broadcast(table), "shard", "left")
         blocks = F.coalesce(F.col("blocks"), F.lit(1))
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -429,7 +429,7 @@ def confirmed(members: DataFrame, similarity: float, rows: int = BLOCK_ROWS, shi
     sizes = materialize(members.groupBy("root").agg(F.count("*").alias("rows"), blocks.alias("blocks")), "candidate-sizes")
     buckets = max(64, (sizes.agg(F.sum("rows")).first()[0] or 0) // 256)
     cut = sizes.where("blocks > 1").select("root", "blocks").collect()  # overfull components only
-    table = spark.createDataFrame([tuple(r) for r in cut], "root long, blocks int")
+    table = local_table(spark, [tuple(r) for r in cut], "root long, blocks int")
     dealt = members.join(F.broadcast(table), "root", "left")
     own = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
     slot = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.col("root"))
@@ -456,7 +456,7 @@ def confirmed(members: DataFrame, similarity: float, rows: int = BLOCK_ROWS, shi
     counts = apart.groupBy("root", "blocks").agg(F.ceil(F.count("*") / rows).cast("int").alias("others")).collect() if cut else []
     if not counts:
         return links
-    several = F.broadcast(spark.createDataFrame([(r.root, r.others) for r in counts], "root long, others int"))
+    several = F.broadcast(local_table(spark, [(r.root, r.others) for r in counts], "root long, others int"))
     rest = dealt.join(several, "root")
     lone = rest.join(apart.select("id"), "id", "left_semi")
     other = F.pmod(F.xxhash64("id", F.lit(1)), F.col("others")).cast("int")

@@ -43,14 +43,14 @@ class WordSums(dict):
     #: Numbers that one step of a sparse product holds.
     STEP = 1 << 22
 
-    def __init__(self, table: np.ndarray, split: Callable[[str], list[int]], most: int = 200_000):
+    def __init__(self, table: np.ndarray, split: Callable[[str], list[int]], most: int = 200_000, step: int = STEP):
         super().__init__()
-        self.table, self.split, self.most = table, split, most
+        self.table, self.split, self.most, self.step = table, split, most, step
         self.rows = np.zeros((1024, table.shape[1] + 1))
 
     def learn(self, unseen: list[str]) -> None:
         """Rows of new words: their n-grams (a sparse matrix of 0 and 1) times the table."""
-        per_step = max(1, self.STEP // (16 * self.table.shape[1]))
+        per_step = max(1, self.step // (16 * self.table.shape[1]))
         while len(self) + len(unseen) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         for at in range(0, len(unseen), per_step):
@@ -77,7 +77,7 @@ class WordSums(dict):
         out = np.zeros((len(texts), self.rows.shape[1]))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ends = np.cumsum(sizes)
-        per_step = max(1, self.STEP // self.rows.shape[1])
+        per_step = max(1, self.step // self.rows.shape[1])
         at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + per_step, side="right")))

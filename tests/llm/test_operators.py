@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rangeframe.llm import bpe, exact_dedup, language_id, license_scan, line_dedup, media, mixing, queries, simhash, token_counts, toxicity
+from rangeframe.llm import bpe, common, exact_dedup, language_id, license_scan, line_dedup, media, mixing, queries, simhash, token_counts, toxicity
 from tests.conftest import SF
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -805,3 +805,20 @@ def test_pipeline_decodes_its_tokens(spark, docs, odd, monkeypatch):
     monkeypatch.setattr(bpe, "map_text", lambda docs, keep, text, schema, make: work.update(made=make()([b"some text"])))
     bpe.bpe_encode_decode(docs, VOCABULARY, [])
     assert work["made"]["decoded_sha256"] == [hashlib.sha256(b"").hexdigest()]  # the digest is of what the ids decode to
+
+
+def test_encoders_keep_nothing_of_a_task():
+    one = bpe.encoder(VOCABULARY)
+    one.encode(["some text of a few words", LONG])
+    two = bpe.encoder(VOCABULARY)
+    assert one.known and one.words and one.vocabulary.fits
+    assert not two.known and not two.words and not two.vocabulary.fits
+    assert two.vocabulary.rank is one.vocabulary.rank  # read once
+
+
+def test_local_tables_run_no_python_workers(spark):
+    table = common.local_table(spark, [(1, 2), (3, None)], "root long, blocks int")
+    assert "PythonRDD" not in table._jdf.queryExecution().toRdd().toDebugString()
+    assert table.dtypes == [("root", "bigint"), ("blocks", "int")] and sorted(map(tuple, table.collect())) == [(1, 2), (3, None)]
+    none = common.local_table(spark, [], "root long, blocks int")
+    assert none.dtypes == table.dtypes and none.count() == 0
