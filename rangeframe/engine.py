@@ -509,14 +509,17 @@ class Engine:
 
 def median_key(rows: DataFrame, pk: str) -> Any:
     """The key at which half of the rows are below (the upper median); None for fewer than two rows."""
-    n = rows.count()
-    if n < 2:
-        return None
-    # Range partitions narrow the place down: no task sorts more than its share.
-    parts = rows.select(pk).repartitionByRange(pk).sortWithinPartitions(pk).withColumn("part", F.spark_partition_id())
-    left = 0
-    for part, size in sorted((r.part, r["count"]) for r in parts.groupBy("part").count().collect()):
-        if left + size > n // 2:
-            return parts.where(F.col("part") == part).orderBy(pk).offset(n // 2 - left).first()[pk]
-        left += size
+    # Range partitions narrow the place down: no task sorts more than its share. Their bounds come from a sample that
+    # differs from one run of the plan to the next, so sizes and key are read from the same, stored partitions.
+    # The id of a row is its partition, then its place in it.
+    parts = rows.select(pk).repartitionByRange(pk).sortWithinPartitions(pk).withColumn("__at", F.monotonically_increasing_id()).persist()
+    try:
+        sizes = parts.groupBy(F.shiftright("__at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per partition
+        left = sum(r.n for r in sizes) // 2
+        for r in sorted(sizes) if left else []:
+            if r.n > left:
+                return parts.where(F.col("__at") == (r.part << 33) + left).first()[pk]
+            left -= r.n
+    finally:
+        parts.unpersist()
     return None

@@ -91,6 +91,29 @@ def test_median(spark):
     assert median_key(words, "k") == "d"
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Range partitions stay apart: their bounds, from a sample of the keys, differ between runs of a plan."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_median_of_many_partitions(spark, many_partitions):
+    n = 150_001
+    keys = spark.range(0, n, 1, 8).select((F.col("id") * 7919 % n).alias("id"))
+    assert [median_key(keys, "id") for _ in range(3)] == [n // 2] * 3
+    assert median_key(keys.select(F.lpad(F.col("id").cast("string"), 9, "0").alias("k")), "k") == f"{n // 2:09d}"
+
+
+def test_split_large_halves_a_region_of_many_rows(spark, many_partitions, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}")
+    engine.create_table("CREATE TABLE t (id BIGINT NOT NULL, PRIMARY KEY (id))")
+    engine.load("t", spark.range(100_001))
+    engine.split_large("t", 1)
+    assert [r.rows for r in engine.catalog.table_regions("t")] == [50_000, 50_001]
+
+
 def test_sql(engine, spark):
     q = lambda s: rows(sql.execute_query(engine, s))
     assert q("SELECT id FROM users WHERE id BETWEEN 98 AND 105") == [(99,), (102,), (105,)]
