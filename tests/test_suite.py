@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from rangeframe import suite
 from tests.conftest import SF
@@ -40,6 +41,17 @@ def test_batch_put_covers_the_whole_table(spark):
     assert suite.QUERIES["batch_put_report"][0](spark, SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
 
 
+def test_split_median_of_many_partitions(spark, tmp_path):
+    """Over more orders than the sample behind range partitions holds."""
+    spark.range(0, 150_001, 1, 8).select((F.col("id") * 7919 % 150_001).alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    want = duckdb.sql(suite.QUERIES["region_split_median"][1].replace("orders", f"'{tmp_path}/orders.parquet/*.parquet'")).fetchall()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert [tuple(r) for r in suite.QUERIES["region_split_median"][0](spark, str(tmp_path)).collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_flagship(spark):
     assert suite.flagship(spark, SF).count() == 1
 
